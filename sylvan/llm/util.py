@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +87,18 @@ def bytes_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray
     offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
     data = np.frombuffer(wide.buffers()[2], np.uint8) if wide.buffers()[2] is not None else np.empty(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that column number `at` of each holds about `most` bytes; one row may hold more."""
+    for batch in batches:
+        column = batch.column(at)
+        if not len(column):
+            continue
+        sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)))
+        cuts = np.unique(np.append(np.searchsorted(sizes, np.arange(most, sizes[-1] + most, most), side="left") + 1, len(column)))
+        a = 0
+        for b in cuts[cuts <= len(column)]:
+            if b > a:
+                yield batch.slice(a, b - a)
+            a = b
