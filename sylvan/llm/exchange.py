@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sylvan.llm.util import grouped
 
 SENT = "bucket int, block int, keys binary, vals binary"
-ANSWERS = "block int, bucket int, answers binary"
+ANSWERS = "block int, bucket int, answers binary, stats array<bigint>"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -65,12 +65,17 @@ def group_sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 Emit = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
-Answer = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Answer = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list[int]]]
+
+
+def answer_batch(blocks: np.ndarray, bucket: int, answers: list[bytes], stats: list[int] | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([bucket] * len(blocks), pa.int32()), pa.array(answers, pa.binary()), pa.array([stats] * len(blocks), pa.list_(pa.int64()))], ["block", "bucket", "answers", "stats"])
 
 
 def look_up(blocks: DataFrame, emit: Emit, answer: Answer, n_buckets: int) -> DataFrame:
     """blocks(block, ...) is dealt out by block. emit gives a block's sorted distinct keys and a value for each; answer
-    gives, for all entries of a bucket, an unsigned integer each. Returns ANSWERS."""
+    gives, for all entries of a bucket, an unsigned integer each, and numbers about the bucket (kept in a row of block -1).
+    Returns ANSWERS."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in grouped(batches, "block"):
@@ -87,11 +92,12 @@ def look_up(blocks: DataFrame, emit: Emit, answer: Answer, n_buckets: int) -> Da
         for bucket, rows in grouped(batches, "bucket"):
             keys = [unpack_sorted(x.as_py()) for x in rows["keys"]]
             sizes = np.array([len(x) for x in keys])
-            found = answer(np.concatenate(keys), np.concatenate([unpack(x.as_py()) for x in rows["vals"]]))
+            found, stats = answer(np.concatenate(keys), np.concatenate([unpack(x.as_py()) for x in rows["vals"]]))
             parts = np.split(found, np.cumsum(sizes)[:-1])
             blocks_of = np.asarray(rows["block"])
             for at in range(0, len(parts), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(blocks_of[at : at + 256], pa.int32()), pa.array([bucket] * len(blocks_of[at : at + 256]), pa.int32()), pa.array([pack(x) for x in parts[at : at + 256]], pa.binary())], ["block", "bucket", "answers"])
+                yield answer_batch(blocks_of[at : at + 256], bucket, [pack(x) for x in parts[at : at + 256]], None)
+            yield answer_batch(np.array([-1]), bucket, [b""], stats)
 
     sent = blocks.sortWithinPartitions("block").mapInArrow(send, SENT)
     return sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(decide, ANSWERS)
@@ -105,12 +111,12 @@ def answers_of(rows: pa.Table) -> np.ndarray:
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame, work: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """work(rows of a block, its answers) for each block."""
+    """work(rows of a block, its answers) for each block; blocks may be undealt, the cogroup deals them."""
 
     def both(rows: pa.Table, back: pa.Table) -> pa.Table:
         return work(rows, answers_of(back))
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, schema)
+    return blocks.groupBy("block").cogroup(answers.filter("block >= 0").select("block", "bucket", "answers").groupBy("block")).applyInArrow(both, schema)
 
 
 def dealt(docs: DataFrame, n: int) -> DataFrame:

@@ -87,11 +87,17 @@ select d.page_id, cast(strlen(html) as bigint) as payload_bytes, payload_digest,
 from d join bits using (page_id)
 """
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.langmodel import language_model
+
+    return language_model(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sylvan.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {"op1_warc": op1_warc, "op5_toxicity": op5_toxicity, "op10_url_filters": op10_url_filters}
+QUERIES: dict[str, Query] = {"op1_warc": op1_warc, "op4_lm_score": op4_lm_score, "op5_toxicity": op5_toxicity, "op10_url_filters": op10_url_filters}
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op10_url_filters": OP10_SQL}
