@@ -36,15 +36,18 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    first = int(keys[0]) if len(keys) else 0
-    return first.to_bytes(8, "little") + pack(np.diff(keys))
+    """Sorted keys as differences, without the low bits that are zero in all."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    low = int(np.bitwise_or.reduce(steps)) or 1
+    shift = (low & -low).bit_length() - 1
+    return bytes([shift]) + int(steps[0] if len(steps) else 0).to_bytes(8, "little") + pack(steps[1:] >> np.uint64(shift))
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    rest = unpack(data[8:])
+    rest = unpack(data[9:])
     out = np.empty(len(rest) + 1, np.uint64)
-    out[0] = int.from_bytes(data[:8], "little")
-    out[1:] = rest
+    out[0] = int.from_bytes(data[1:9], "little")
+    out[1:] = rest << np.uint64(data[0])
     return np.cumsum(out, dtype=np.uint64)
 
 
