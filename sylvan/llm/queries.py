@@ -18,6 +18,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.pii import pii
+
+    return pii(table(spark, sf_dir, "documents"))
+
+
 #: Dated entries for the hosts of pages: a rule on md5(host) adds, removes and adds again.
 ENTRIES_SQL = """
 with hosts as (
@@ -111,5 +117,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES: dict[str, Query] = {"op1_warc": op1_warc, "op4_lm_score": op4_lm_score, "op5_toxicity": op5_toxicity, "op6_nearest": op6_nearest, "op9_jaccard_join": op9_jaccard_join, "op10_url_filters": op10_url_filters}
+QUERIES: dict[str, Query] = {"op1_warc": op1_warc, "op2_pii": op2_pii, "op4_lm_score": op4_lm_score, "op5_toxicity": op5_toxicity, "op6_nearest": op6_nearest, "op9_jaccard_join": op9_jaccard_join, "op10_url_filters": op10_url_filters}
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op10_url_filters": OP10_SQL}
