@@ -93,6 +93,16 @@ select d.page_id, cast(strlen(html) as bigint) as payload_bytes, payload_digest,
 from d join bits using (page_id)
 """
 
+#: Vocabulary files of public tokenizers.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.pieces import piece_digests
+
+    return piece_digests(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sylvan.llm.langmodel import language_model
 
@@ -117,5 +127,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES: dict[str, Query] = {"op1_warc": op1_warc, "op2_pii": op2_pii, "op4_lm_score": op4_lm_score, "op5_toxicity": op5_toxicity, "op6_nearest": op6_nearest, "op9_jaccard_join": op9_jaccard_join, "op10_url_filters": op10_url_filters}
+QUERIES: dict[str, Query] = {"op1_warc": op1_warc, "op2_pii": op2_pii, "op3_pieces": op3_pieces, "op4_lm_score": op4_lm_score, "op5_toxicity": op5_toxicity, "op6_nearest": op6_nearest, "op9_jaccard_join": op9_jaccard_join, "op10_url_filters": op10_url_filters}
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op10_url_filters": OP10_SQL}
