@@ -224,6 +224,7 @@ def paths(v: Vocabulary, meeting: Meeting, rows: np.ndarray, codes: np.ndarray)
             ask = np.nonzero(good & (before >= 0))
             good[ask] = meeting.find(before[ask], here[ask])
             worth = np.where(good, np.arange(1, reach + 1)[:, None], 0.0)
+            worth[0] = np.maximum(worth[0], 0.5)  # a character that is no piece
         else:
             worth = np.where(good, v.scores[np.maximum(here, 0)] + value[j + 1 - np.arange(1, reach + 1)], -np.inf)
             worth[0] = np.where(lone[j], value[j] + penalty, worth[0])
