@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylvan.llm.blocks import read_block, spread
 from sylvan.llm.util import grouped
 
 SENT = "bucket int, block int, keys binary, vals binary"
@@ -75,22 +76,16 @@ def answer_batch(blocks: np.ndarray, bucket: int, answers: list[bytes], stats: l
     return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([bucket] * len(blocks), pa.int32()), pa.array(answers, pa.binary()), pa.array([stats] * len(blocks), pa.list_(pa.int64()))], ["block", "bucket", "answers", "stats"])
 
 
-def look_up(blocks: DataFrame, emit: Emit, answer: Answer, n_buckets: int) -> DataFrame:
-    """blocks(block, ...) is dealt out by block. emit gives a block's sorted distinct keys and a value for each; answer
-    gives, for all entries of a bucket, an unsigned integer each, and numbers about the bucket (kept in a row of block -1).
-    Returns ANSWERS."""
+def sent_by(block: int, keys: np.ndarray, vals: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    cuts = bounds(keys, n_buckets)
+    full = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+    for at in range(0, len(full), 256):
+        part = full[at : at + 256]
+        packed = [pa.array([f(x[cuts[b] : cuts[b + 1]]) for b in part], pa.binary()) for f, x in ((pack_sorted, keys), (pack, vals))]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([block] * len(part), pa.int32()), *packed], ["bucket", "block", "keys", "vals"])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in grouped(batches, "block"):
-            keys, vals = emit(rows)
-            cuts = bounds(keys, n_buckets)
-            full = [b for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
-            for at in range(0, len(full), 256):
-                part = full[at : at + 256]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.int32()), pa.array([block] * len(part), pa.int32()), pa.array([pack_sorted(keys[cuts[b] : cuts[b + 1]]) for b in part], pa.binary()), pa.array([pack(vals[cuts[b] : cuts[b + 1]]) for b in part], pa.binary())], ["bucket", "block", "keys", "vals"]
-                )
 
+def answered(sent: DataFrame, answer: Answer, n_buckets: int) -> DataFrame:
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in grouped(batches, "bucket"):
             keys = [unpack_sorted(x.as_py()) for x in rows["keys"]]
@@ -102,10 +97,33 @@ def look_up(blocks: DataFrame, emit: Emit, answer: Answer, n_buckets: int) -> Da
                 yield answer_batch(blocks_of[at : at + 256], bucket, [pack(x) for x in parts[at : at + 256]], None)
             yield answer_batch(np.array([-1]), bucket, [b""], stats)
 
-    sent = blocks.sortWithinPartitions("block").mapInArrow(send, SENT)
     return sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(decide, ANSWERS)
 
 
+def look_up(blocks: DataFrame, emit: Emit, answer: Answer, n_buckets: int) -> DataFrame:
+    """blocks(block, ...) is dealt out by block. emit gives a block's sorted distinct keys and a value for each; answer
+    gives, for all entries of a bucket, an unsigned integer each, and numbers about the bucket (kept in a row of block -1).
+    Returns ANSWERS."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in grouped(batches, "block"):
+            yield from sent_by(block, *emit(rows), n_buckets)
+
+    return answered(blocks.sortWithinPartitions("block").mapInArrow(send, SENT), answer, n_buckets)
+
+
+def look_up_blocks(manifest: DataFrame, emit: Emit, answer: Answer, n_buckets: int) -> DataFrame:
+    """As look_up, for blocks in files."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, rows = read_block(pa.Table.from_batches([batch.slice(row, 1)]))
+                yield from sent_by(block, *emit(rows), n_buckets)
+
+    return answered(spread(manifest, n_buckets).mapInArrow(send, SENT), answer, n_buckets)
+
+
 def answers_of(rows: pa.Table) -> np.ndarray:
     """A block's answers in the order of its keys."""
     order = np.argsort(np.asarray(rows["bucket"]), kind="stable")
