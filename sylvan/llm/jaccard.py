@@ -33,6 +33,8 @@ from sylvan.llm.exchange import dealt, group_sums, look_up, with_answers
 from sylvan.llm.hashing import mix, shingles, tokens
 from sylvan.llm.util import grouped, in_blocks, n_blocks, stored
 
+#: Text of one block; a worker holds about forty times as much while it sorts shingles.
+BLOCK_BYTES = 5 << 20
 #: Document frequencies count up to this.
 MOST_DF = 250
 #: Bytes of sets that a part of a shard may hold.
@@ -69,7 +71,7 @@ def sets_of(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int) ->
     """(doc_id, size, node, prefix, shingles): for documents that may link, their shared shingles, rare ones first, and how
     many of them belong to the first size - T + 1; else null. One row of a block carries the shingles of equal sets."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"))
-    n = n_blocks(rows)
+    n = n_blocks(rows, block_bytes=BLOCK_BYTES)
     blocks = in_blocks(rows, n, "doc_id", "text")
     # Frequencies may be of shortened hashes: any order of shingles that all documents share gives all links.
     cut = np.uint64(max(0, 23 - int(math.log2(n))))
