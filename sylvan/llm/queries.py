@@ -121,6 +121,12 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sylvan.llm.decontaminate import contaminated
+
+    return contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sylvan.llm.substrings import without_repeats
 
@@ -133,5 +139,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES: dict[str, Query] = {"op1_warc": op1_warc, "op2_pii": op2_pii, "op3_pieces": op3_pieces, "op4_lm_score": op4_lm_score, "op5_toxicity": op5_toxicity, "op6_nearest": op6_nearest, "op8_substrings": op8_substrings, "op9_jaccard_join": op9_jaccard_join, "op10_url_filters": op10_url_filters}
+QUERIES: dict[str, Query] = {"op1_warc": op1_warc, "op2_pii": op2_pii, "op3_pieces": op3_pieces, "op4_lm_score": op4_lm_score, "op5_toxicity": op5_toxicity, "op6_nearest": op6_nearest, "op7_decontaminate": op7_decontaminate, "op8_substrings": op8_substrings, "op9_jaccard_join": op9_jaccard_join, "op10_url_filters": op10_url_filters}
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op10_url_filters": OP10_SQL}
