@@ -39,6 +39,8 @@ from sylvan.llm.util import bytes_of, grouped, stored
 from sylvan.llm.windows import Cells, cells, rolling
 
 LENGTH, ANCHOR = 200, 64
+#: Text of one block; a worker holds about forty times as much.
+BLOCK_BYTES = 3 << 20
 #: What one block sends to one bucket: a sorted run, where anchors lie in its suffixes, and which come more than once.
 RUNS = "bucket int, block int, run binary, places binary, many binary"
 REPLIES = "block int, bucket int, reply binary"
@@ -292,7 +294,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
     """RESULT for each document; texts: also kept, the bytes that stay."""
     schema = RESULT + (", kept binary" if texts else "")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("binary"), F.lit(bytearray())).alias("text"))
-    manifest = store_blocks(spark, rows, 1)
+    manifest = store_blocks(spark, rows, 1, BLOCK_BYTES)
     n = max(1, manifest.count())
 
     def emit(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:

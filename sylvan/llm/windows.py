@@ -59,8 +59,9 @@ def cells(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> Ce
         return Cells(*(np.empty(0, np.int64),) * 3, np.empty(0, np.uint64))
     h = rolling(data, anchor)
     m = least(h, width)
-    ends = np.repeat(offsets[1:], np.diff(offsets))[: len(m)]
-    valid = np.arange(len(m)) + length <= ends
+    valid = np.zeros(len(m), bool)
+    for a, b in zip(offsets.tolist(), offsets.tolist()[1:], strict=False):
+        valid[a : max(a, b - length + 1)] = True
     starts = valid.copy()
     # A cell goes on where the least hash stays and its place is still inside.
     starts[1:] &= ~(valid[:-1] & (m[1:] == m[:-1]) & (h[: len(m) - 1] != m[:-1]))
