@@ -29,12 +29,12 @@ from sylvan.llm.hashing import Tokens, tokens
 from sylvan.llm.util import grouped, slices
 
 BLOCK, RANK, MIN_COSINE = 12, 64, 0.6
-LCS_SHARE, PARAPHRASE_SHARE, ANSWER = 0.8, 0.6, 4
+LCS_SHARE, PARAPHRASE_SHARE, ANSWER = 0.7, 0.5, 4
 MIN_WORDS, MAX_ITEMS, MAX_WORDS = 8, 4096, 64
 #: A word of more than this share of the items is too common to be a term, unless an item has few others.
 COMMON, FEW = 0.015, 6
 #: Rare words that a passage needs.
-MIN_TERMS = 4
+MIN_TERMS = 3
 FILTER = 20
 FOUND = "doc_id long, item_id long, lcs_share double, cosine double, has_answer boolean"
 
@@ -207,11 +207,13 @@ def search(items: Items, by_term: np.ndarray, latent: np.ndarray, owner: np.ndar
     vectors = p.sums(by_term)
     norm = np.linalg.norm(vectors, axis=1)
     some = np.flatnonzero((count >= MIN_TERMS) & (norm > 0))
+    # A passage that holds a whole short part has other words too, and so a lesser cosine.
+    limit = (min_cosine * np.minimum(1, np.array([len(x) for x in items.part]) / (2 * BLOCK)))[owner].astype(np.float32)
     blocks, parts, cosines = [], [], []
     for a in range(0, len(some), 4096):
         at = some[a : a + 4096]
         cosine = (vectors[at] / norm[at, None]) @ latent.T
-        i, j = np.nonzero(cosine >= min_cosine)
+        i, j = np.nonzero(cosine >= limit)
         blocks.append(at[i])
         parts.append(owner[j])
         cosines.append(cosine[i, j])
