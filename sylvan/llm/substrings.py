@@ -312,7 +312,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
         for bucket, runs in grouped(batches, "bucket"):
             yield pa.RecordBatch.from_arrays([runs["block"].combine_chunks(), pa.array([bucket] * runs.num_rows, pa.int32()), pa.array(judge(runs, length, anchor), pa.binary())], ["block", "bucket", "reply"])
 
-    runs = manifest.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(send, RUNS)
+    # Dealt by number: by its bytes alone a manifest would be coalesced into a few tasks.
+    manifest = manifest.repartition(n, "block")
+    runs = manifest.groupBy("block").cogroup(asked.repartition(n, "block").groupBy("block")).applyInArrow(send, RUNS)
     replies = stored(spark, runs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, REPLIES), "replies")
 
     def finish(entry: pa.Table, back: pa.Table) -> pa.Table:
@@ -332,4 +334,4 @@ def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
         return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if texts else {}))
 
     both = asked.withColumn("kind", F.lit(1)).union(replies.select("block", "bucket", F.col("reply").alias("answers"), F.lit(2).alias("kind")))
-    return manifest.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, schema)
+    return manifest.groupBy("block").cogroup(both.repartition(n, "block").groupBy("block")).applyInArrow(finish, schema)
