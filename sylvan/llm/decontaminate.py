@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -266,24 +267,42 @@ def item_windows(items: Items, by_term: np.ndarray, step: int = 8) -> tuple[np.n
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rank: int = RANK, min_cosine: float = MIN_COSINE) -> DataFrame:
     """FOUND: a row for each document row and item that it holds."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"))
+    out = spark.createDataFrame([], FOUND)
+    for k, index in enumerate(indexes(rows, benchmark, rank)):
+        out = found_by(rows, index, min_cosine) if k == 0 else out.union(found_by(rows, index, min_cosine))
+    return out
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns."""
+    for index in indexes(docs.select(F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text")), benchmark, rank):
+        docs = kept_by(docs, index, min_cosine)
+    return docs
+
+
+class Index(NamedTuple):
+    items: Items
+    by_term: np.ndarray
+    latent: np.ndarray
+    owner: np.ndarray
+
+
+def indexes(rows: DataFrame, benchmark: DataFrame, rank: int) -> Iterator[Index]:
+    """One for each group of items."""
     asked = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("binary").alias("text")).filter("text is not null")
     groups = -(-asked.count() // MAX_ITEMS)
-    out = spark.createDataFrame([], FOUND)
     for group in range(groups):
         items = read_items(asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == group).toArrow())
         if items is not None:
-            out = out.union(one_group(rows, items, rank, min_cosine)) if group else one_group(rows, items, rank, min_cosine)
-    return out
+            by_term = projection(*gather(rows, items, rank))
+            yield Index(items, by_term, *item_windows(items, by_term))
 
 
-def one_group(rows: DataFrame, items: Items, rank: int, min_cosine: float) -> DataFrame:
-    by_term = projection(*gather(rows, items, rank))
-    latent, owner = item_windows(items, by_term)
-
+def found_by(rows: DataFrame, index: Index, min_cosine: float) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            row, part, lcs, cosine, answer = search(items, by_term, latent, owner, batch.column(1), min_cosine)
-            ids, size = items.item_id[part], np.array([len(x) for x in items.part])[part]
+            row, part, lcs, cosine, answer = search(*index, batch.column(1), min_cosine)
+            ids, size = index.items.item_id[part], np.array([len(x) for x in index.items.part])[part]
             share = lcs / np.maximum(size, 1)
             by = np.lexsort((-cosine, -share, ids, row))
             new = np.ones(len(by), bool)
@@ -292,3 +311,15 @@ def one_group(rows: DataFrame, items: Items, rank: int, min_cosine: float) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[best])), pa.array(ids[best]), pa.array(share[best]), pa.array(cosine[best].astype(np.float64)), pa.array(answer[best])], [x.split()[0] for x in FOUND.split(", ")])
 
     return rows.mapInArrow(find, FOUND)
+
+
+def kept_by(docs: DataFrame, index: Index, min_cosine: float) -> DataFrame:
+    names, at = docs.columns, docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            stays = np.ones(batch.num_rows, bool)
+            stays[search(*index, pa.compute.fill_null(batch.column(at).cast(pa.binary()), b""), min_cosine)[0]] = False
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(stays)) for c in batch.columns], names)
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -212,3 +212,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     named = stored(spark, nodes.join(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id"), "names")
     whole = sets.select("doc_id", "size", F.when(F.col("size") > 0, F.col("node")).alias("node")).join(named, "node", "left")
     return whole.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs without all but one document, that of the least id, of each component; columns stay. Rows without an id stay;
+    of rows of one id and text one stays."""
+    found = jaccard_components(spark, docs, k, num, den)
+    first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    first = stored(spark, first, "first")
+    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if first.filter("_rows > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.union(docs.filter("doc_id is null"))

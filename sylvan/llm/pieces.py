@@ -294,10 +294,10 @@ def decode(v: Vocabulary, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
 
 
 def with_pieces(docs: DataFrame, path: str, name: str = "pieces", digest: bool = False) -> DataFrame:
-    """docs with a column of ids; digest: instead of it n_pieces, ids_sha256 (of little-endian 32-bit ids), n_bytes (byte
-    pieces) and round_trip (whether decoding gives the text back)."""
+    """docs with a column of ids and round_trip, whether decoding gives the text back; digest: instead of the ids n_pieces,
+    ids_sha256 (of little-endian 32-bit ids) and n_bytes (how many are byte pieces)."""
     v, names, at = load(path), docs.columns, docs.columns.index("text")
-    more = [T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("round_trip", T.BooleanType())] if digest else [T.StructField(name, T.ArrayType(T.IntegerType()))]
+    more = [T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("round_trip", T.BooleanType())] if digest else [T.StructField(name, T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meeting = Meeting(v)
@@ -306,17 +306,15 @@ def with_pieces(docs: DataFrame, path: str, name: str = "pieces", digest: bool =
         for part in slices(batches, at, 6 << 20):
             text = pa.compute.fill_null(part.column(at).cast(pa.binary()), b"")
             ids, cuts = encode(v, meeting, text)
+            back, ends = decode(v, ids, cuts)
+            whole, source = back.tobytes(), text.to_pylist()
+            trip = pa.array([whole[a:b] == s for a, b, s in zip(ends.tolist(), ends.tolist()[1:], source, strict=False)], pa.bool_())
             if not digest:
-                new = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))]
+                new = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32())), trip]
             else:
                 small = ids.astype("<i4")
-                back, ends = decode(v, ids, cuts)
                 marks = np.concatenate([[0], np.cumsum(is_byte[ids])])[cuts]
-                whole, source = back.tobytes(), text.to_pylist()
-                new = [
-                    pa.array(np.diff(cuts)), pa.array([hashlib.sha256(small[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)]), pa.array(np.diff(marks)),
-                    pa.array([whole[a:b] == s for a, b, s in zip(ends.tolist(), ends.tolist()[1:], source, strict=False)]),
-                ]
+                new = [pa.array(np.diff(cuts)), pa.array([hashlib.sha256(small[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)]), pa.array(np.diff(marks)), trip]
             yield pa.RecordBatch.from_arrays([*part.columns, *new], [*names, *(f.name for f in more)])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))

@@ -15,7 +15,6 @@ read whole. No rows give no rows. Only doc_id and text are read (redact keeps th
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import random
 import re
@@ -24,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.llm.util import slices
@@ -244,9 +243,25 @@ def example(r: random.Random, length: int) -> tuple[str, list[Span]]:
     return text, spans
 
 
-@functools.cache
-def tagger(examples: int = 2600, length: int = 64, seed: int = 11) -> Tagger:
-    """Trained on made examples; the same on each call."""
+#: Taggers that this process has had trained, by their parameters.
+TRAINED: dict[tuple[int, int, int], Tagger] = {}
+
+
+def tagger(spark: SparkSession, examples: int = 2600, length: int = 64, seed: int = 11) -> Tagger:
+    """Trained once, in one task (where Spark keeps numpy to the task's cores)."""
+    if (key := (examples, length, seed)) not in TRAINED:
+
+        def work(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p = train_tagger(*key).p
+            yield pa.RecordBatch.from_arrays([pa.array(list(p)), pa.array([x.tobytes() for x in p.values()], pa.binary()), pa.array([list(x.shape) for x in p.values()], pa.list_(pa.int32()))], ["name", "data", "shape"])
+
+        rows = spark.range(0, 1, 1, 1).mapInArrow(work, "name string, data binary, shape array<int>").collect()
+        TRAINED[key] = Tagger({r.name: np.frombuffer(r.data, np.float32).reshape(r["shape"]) for r in rows})
+    return TRAINED[key]
+
+
+def train_tagger(examples: int, length: int, seed: int) -> Tagger:
+    """A tagger of made examples; the same on each call."""
     r = random.Random(seed)
     chars, tags = np.full((examples, length), CLASSES - 1, np.int64), np.zeros((examples, length), np.int64)
     for row in range(examples):
@@ -362,7 +377,7 @@ PII = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha
 
 def pii(docs: DataFrame) -> DataFrame:
     """The columns of PII for each document; n_added is how many spans the tagger adds."""
-    model = tagger()
+    model = tagger(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
@@ -386,7 +401,7 @@ def replaced(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data in text replaced and n_chars, where it is there, counted anew. Null texts stay null."""
-    model, names, at = tagger(), docs.columns, docs.columns.index("text")
+    model, names, at = tagger(docs.sparkSession), docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, at):
