@@ -195,12 +195,12 @@ def train(chars: np.ndarray, tags: np.ndarray, epochs: int = 7, batch: int = 64,
             inputs = lstm_gradient(p, "f", fore, up[:, :, :HIDDEN], grad) + lstm_gradient(p, "b", back, up[::-1, :, HIDDEN:], grad)[::-1]
             np.add.at(grad["embed"], chars[now].T, inputs)
             step += 1
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+            norm = float(np.sqrt(sum(float((g * g).sum()) for g in grad.values())))
             for n, g in grad.items():
                 g = g * min(1.0, 5 / max(norm, 1e-9))
                 first[n], second[n] = 0.9 * first[n] + 0.1 * g, 0.99 * second[n] + 0.01 * g * g
                 p[n] = p[n] - np.float32(rate * min(1.0, 2 * (1 - step / (total + 1)))) * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + np.float32(1e-6))
-    return Tagger(p)
+    return Tagger({n: v.astype(np.float32) for n, v in p.items()})
 
 
 def luhn_number(r: random.Random, n: int) -> str:
