@@ -78,6 +78,6 @@ ORACLE_SQL: dict = {
     "tree_depth_profile": f"""{TREE_SQL} select a.file_path, a.node_id, a.name, count(*) as total_nodes, cast(max(d.depth - a.depth) as bigint) as max_depth, round(avg(d.depth - a.depth), 2) as avg_depth
 from tree a join tree d on d.file_path = a.file_path and d.node_id > a.node_id and d.node_id <= a.node_id + a.descendant_count where a.type = 'customer' group by all""",
     "taxonomy_scalars": "with c as (" + CODES_SQL.replace("{part}", "part") + f""") select p_partkey, cast(st & 252 as int) as base, (st & 240) = 240 as definition, (st & 252) in (208, 136) as call, (st & 240) = 144 as control_flow,
-(st & 252) = 8 as punctuation, {_KIND_CASE} as kind from c""",
+(st & 252) in (4, 8) as punctuation, {_KIND_CASE} as kind from c""",
     "text_contains": "select doc_id, " + " or ".join(f"contains(text, '{s}')" for s in SECRETS) + " as found, " + " or ".join(f"contains(lower(text), '{s}')" for s in SECRETS) + " as found_i from documents",
 }
