@@ -2,9 +2,11 @@
 
 The vectors are dealt to shards of about SHARD vectors. In each shard a graph is grown: greedy searches from the medoid
 propose neighbours for a point, and a candidate is kept only if no kept neighbour is nearer to it by the factor ALPHA
-(relaxed pruning keeps diverse edges). Queries run a beam search in every shard, block by block; scores are cosines in
-double precision on the original vectors. Every row is indexed; equal vectors are one node that carries its k + 1 least
-ids, which is all that ties can need.
+(relaxed pruning keeps diverse edges). Vectors that single precision hardly tells apart are one point of the graph. Queries
+run a beam search in every shard, block by block; every vector of the points found is scored in double precision, and where
+more than k + 1 are the best within the rounding of single precision, all vectors of the shard are. The best are scored
+again in extended precision, so that vectors of one direction tie and the lesser vec_id goes first. Every row is indexed;
+equal vectors are one node that carries its k + 1 least ids, which is all that ties can need.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, neither do null ids; vectors
 of other lengths are no candidates of a query; repeated rows count once; fewer candidates than k are all returned; no
@@ -144,7 +146,77 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-INDEX = "shard long, dim int, vectors binary, graph binary, entry int, ids binary"
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of a and b, to the last bit of double precision but for rare halves."""
+    a, b = a.astype(np.longdouble), b.astype(np.longdouble)
+    a, b = a / np.abs(a).max(1, keepdims=True), b / np.abs(b).max(1, keepdims=True)
+    return ((a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))).astype(np.float64)
+
+
+def rounding(dim: int) -> float:
+    """Bound of the error of a cosine in single precision."""
+    return (dim + 4) * 2.0**-23
+
+
+def leaders(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that lead, number of the leader of each row): a row follows the first leader that it equals within rounding."""
+    n, dim = points.shape
+    leads, of, heads = np.zeros(n, bool), np.empty(n, np.int64), []
+    for a in range(0, n, 512):
+        near = points[a : a + 512] @ points.T >= 1 - 2 * rounding(dim)
+        for i in range(a, min(n, a + 512)):
+            before = near[i - a, :i] & leads[:i]
+            if before.any():
+                of[i] = of[before.argmax()]
+            else:
+                of[i], leads[i] = len(heads), True
+                heads.append(i)
+    return np.array(heads, np.int64), of
+
+
+def best_of_shard(raw: np.ndarray, members: np.ndarray, of: np.ndarray, found: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the query, vec_id, score): the k best other ids for each query, of the leaders found for it (-1: none) and their followers; of all rows if these are no safe choice."""
+    n, dim = raw.shape
+    points, asked = unit(raw), unit(queries)
+    hit = np.zeros(int(of.max()) + 2, bool)
+    nodes = []
+    for i in range(len(queries)):
+        hit[found[i]] = True
+        hit[-1] = False
+        rows = np.flatnonzero(hit[of])
+        hit[found[i]] = False
+        width = k + 1  # one may be the query's own
+        while True:
+            score = points[rows] @ asked[i]
+            order = np.argsort(-score, kind="stable")
+            rows, score = rows[order], score[order]
+            edge = score[min(width, len(rows)) - 1]
+            near = rows[score >= edge - (dim + 4) * 2.0**-51]
+            whole = len(rows) == n
+            if not whole and (len(rows) <= width or score[width] >= edge - 2 * rounding(dim)):
+                rows = np.arange(n)
+            elif len(near) == n or len(np.setdiff1d(members[near], [-1, own[i]])) >= k:
+                break
+            else:  # an id of several vectors counts once
+                width *= 2
+        nodes.append(near)
+    row, node = np.repeat(np.arange(len(nodes)), [len(x) for x in nodes]), np.concatenate(nodes).astype(np.int64)
+    exact = np.concatenate([np.empty(0), *(cosines(queries[row[a : a + 8192]], raw[node[a : a + 8192]]) for a in range(0, len(row), 8192))])
+    row, ids, exact = np.repeat(row, members.shape[1]), members[node].ravel(), np.repeat(exact, members.shape[1])
+    good = (ids >= 0) & (ids != own[row])
+    row, ids, exact = row[good], ids[good], exact[good]
+    by = np.lexsort((-exact, ids, row))
+    row, ids, exact = row[by], ids[by], exact[by]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])
+    row, ids, exact = row[new], ids[new], exact[new]
+    by = np.lexsort((ids, -exact, row))
+    row, ids, exact = row[by], ids[by], exact[by]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], ids[place < k], exact[place < k]
+
+
+INDEX = "shard long, dim int, vectors binary, graph binary, entry int, ids binary, leader binary"
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -166,11 +238,13 @@ def index(nodes: DataFrame, n_shards: int, ids: int, degree: int, beam: int, alp
     def grow(key: tuple, rows: pa.Table) -> pa.Table:
         dim = key[1].as_py()
         vectors = matrix(rows["embedding"], dim)
-        graph, entry = build(unit(vectors).astype(np.float32), degree, beam, alpha)
+        points = unit(vectors).astype(np.float32)
+        heads, of = leaders(points)
+        graph, entry = build(points[heads], degree, beam, alpha)
         members = np.full((len(vectors), ids), -1, np.int64)
         for i, m in enumerate(rows["members"].to_pylist()):
             members[i, : len(m)] = m
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([dim], pa.int32()), "vectors": [vectors.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "entry": pa.array([entry], pa.int32()), "ids": [members.tobytes()]})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([dim], pa.int32()), "vectors": [vectors.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "entry": pa.array([entry], pa.int32()), "ids": [members.tobytes()], "leader": [of.astype(np.int32).tobytes()]})
 
     return nodes.select(F.pmod(F.xxhash64("embedding"), F.lit(n_shards)).alias("shard"), F.size("embedding").alias("dim"), "embedding", "members").groupBy("shard", "dim").applyInArrow(grow, INDEX)
 
@@ -190,24 +264,22 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: F.Column, k: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                one = {name: batch.column(name)[row] for name in ("dim", "vectors", "graph", "entry", "ids", "query_ids", "queries")}
+                one = {name: batch.column(name)[row] for name in ("dim", "vectors", "graph", "entry", "ids", "leader", "query_ids", "queries")}
                 dim = one["dim"].as_py()
                 raw = np.frombuffer(one["vectors"].as_buffer(), np.float64).reshape(-1, dim)
-                points, members = unit(raw), np.frombuffer(one["ids"].as_buffer(), np.int64).reshape(len(raw), -1)
-                graph = np.frombuffer(one["graph"].as_buffer(), np.int32).reshape(len(raw), -1).astype(np.int64)
-                queries, query_ids = unit(np.asarray(one["queries"].values).reshape(-1, dim)), np.asarray(one["query_ids"].values)
-                small = points.astype(np.float32)
+                members = np.frombuffer(one["ids"].as_buffer(), np.int64).reshape(len(raw), -1)
+                of = np.frombuffer(one["leader"].as_buffer(), np.int32).astype(np.int64)
+                heads = np.unique(of, return_index=True)[1]
+                graph = np.frombuffer(one["graph"].as_buffer(), np.int32).reshape(len(heads), -1).astype(np.int64)
+                queries, query_ids = np.asarray(one["queries"].values).reshape(-1, dim), np.asarray(one["query_ids"].values)
+                small = unit(raw).astype(np.float32)[heads]
                 for at in range(0, len(queries), BLOCK):
                     q, own = queries[at : at + BLOCK], query_ids[at : at + BLOCK]
-                    found, _ = beam_search(small, graph, one["entry"].as_py(), q.astype(np.float32), min(beam, len(raw)))
-                    found = found[:, : k + 3]  # the query's own node, and some for rounding
-                    score = np.where(found >= 0, np.einsum("qkd,qd->qk", points[np.maximum(found, 0)], q), -np.inf)
-                    ids = np.where(found[:, :, None] >= 0, members[np.maximum(found, 0)], -1).reshape(len(q), -1)
-                    asks, scores = np.repeat(own, ids.shape[1]), np.repeat(score, members.shape[1], 1).ravel()
-                    good = (ids.ravel() >= 0) & (ids.ravel() != asks)
-                    yield pa.RecordBatch.from_arrays([pa.array(asks[good]), pa.array(ids.ravel()[good]), pa.array(scores[good])], ["query_id", "vec_id", "score"])
-
-    found = sent.join(shards, ["shard", "dim"]).select("dim", "vectors", "graph", "entry", "ids", "query_ids", "queries").mapInArrow(run, FOUND)
+                    found, _ = beam_search(small, graph, one["entry"].as_py(), unit(q).astype(np.float32), min(beam, len(heads)))
+                    asks, ids, scores = best_of_shard(raw, members, of, found, q, own, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[asks]), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+    found = sent.join(shards, ["shard", "dim"]).select("dim", "vectors", "graph", "entry", "ids", "leader", "query_ids", "queries").mapInArrow(run, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
     return best.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
