@@ -4,8 +4,11 @@ Passages of 2 * BLOCK words (every BLOCK words) of all documents are TF-IDF vect
 A randomised SVD of that matrix is made in one distributed pass: tasks sum the document frequencies and the product of the
 matrix's Gram with a random test matrix, and the driver gets the singular vectors from it (Nystrom's method; the sums have
 one row for each benchmark word). In a second pass passages and items are compared by the cosine of their latent vectors.
-Each pair over MIN_COSINE is then checked on words: the longest common subsequence of the item with the passage's
-surroundings must hold LCS_SHARE of the item, or PARAPHRASE_SHARE and the item's answer (its last ANSWER words, in a row).
+The latent space serves frequent terms best, so exact candidates stand beside the cosine: whatever holds LCS_SHARE of an
+item's words holds j of any (size - needed + j) of them, so surroundings with j of an item's rarest words are compared too,
+as are those with its answer. Together they leave out no pair that the check would pass.
+Each pair is then checked on words: the longest common subsequence of the item with the passage's surroundings must hold
+LCS_SHARE of the item, or PARAPHRASE_SHARE and the item's answer (its last ANSWER words, in a row).
 
 Items longer than 64 words are looked for in parts of equal length, any of which suffices. A benchmark is worked on in
 groups of MAX_ITEMS items, so that what the driver and the tasks hold of it is bounded.
@@ -37,6 +40,8 @@ COMMON, FEW = 0.015, 6
 #: Rare words that a passage needs.
 MIN_TERMS = 3
 FILTER = 20
+#: Cost of the check of a chance candidate, counted in words looked up.
+CHECK = 1000
 FOUND = "doc_id long, item_id long, lcs_share double, cosine double, has_answer boolean"
 
 
@@ -132,16 +137,18 @@ def test_matrix(n: int, k: int) -> np.ndarray:
     return np.random.default_rng(20).standard_normal((n, k)).astype(np.float32)
 
 
-def gather(docs: DataFrame, items: Items, rank: int, at_once: int = 256) -> tuple[int, np.ndarray, np.ndarray]:
-    """(passages, document frequency of each term, Gram of the term counts times the test matrix) over all documents."""
-    n = int(items.term.max()) + 1
+def gather(docs: DataFrame, items: Items, rank: int, at_once: int = 256) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(passages, document frequency of each term, Gram of the term counts times the test matrix, occurrences of each word) over all documents."""
+    n, n_words = int(items.term.max()) + 1, len(items.words)
+    words_at_once = -(-n_words // -(-n // at_once))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = test_matrix(n, rank)
-        total, count, df = np.zeros((n, rank)), 0, np.zeros(n, np.int64)
+        total, count, df, seen = np.zeros((n, rank)), 0, np.zeros(n, np.int64), np.zeros(n_words, np.int64)
         for part in slices(batches, 0):
             p = passages(items, part.column(0))
             count += len(p.row)
+            seen += np.bincount(p.word, minlength=n_words + 1)[:n_words]
             if not len(p.term):
                 continue
             df += np.bincount(np.unique(p.block * n + p.term) % n, minlength=n)
@@ -153,21 +160,25 @@ def gather(docs: DataFrame, items: Items, rank: int, at_once: int = 256) -> tupl
             heads = np.flatnonzero(np.diff(ordered, prepend=-1))
             total[ordered[heads]] += np.add.reduceat(back[p.block[by]], heads, axis=0)
         for a in range(0, n, at_once):
-            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([count if a == 0 else 0], pa.int64()), pa.array([df[a : a + at_once].tobytes()], pa.binary()), pa.array([total[a : a + at_once].astype("<f4").tobytes()], pa.binary())], ["at", "n", "df", "z"])
+            b = a // at_once * words_at_once
+            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([count if a == 0 else 0], pa.int64()), pa.array([df[a : a + at_once].tobytes()], pa.binary()), pa.array([total[a : a + at_once].astype("<f4").tobytes()], pa.binary()), pa.array([seen[b : b + words_at_once].tobytes()], pa.binary())], ["at", "n", "df", "z", "seen"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, rows in grouped(batches, "at"):
             df = sum(np.frombuffer(x.as_buffer(), np.int64) for x in rows["df"])
             z = sum(np.frombuffer(x.as_buffer(), "<f4").astype(np.float64) for x in rows["z"])
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([int(np.asarray(rows["n"]).sum())], pa.int64()), pa.array([df.tobytes()], pa.binary()), pa.array([z.tobytes()], pa.binary())], ["at", "n", "df", "z"])
+            seen = sum(np.frombuffer(x.as_buffer(), np.int64) for x in rows["seen"])
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([int(np.asarray(rows["n"]).sum())], pa.int64()), pa.array([df.tobytes()], pa.binary()), pa.array([z.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["at", "n", "df", "z", "seen"])
 
-    schema = "at int, n long, df binary, z binary"
+    schema = "at int, n long, df binary, z binary, seen binary"
     whole = docs.select("text").mapInArrow(sums, schema).repartition(-(-n // at_once), "at").sortWithinPartitions("at").mapInArrow(add, schema).orderBy("at").toArrow()
-    df, z = np.zeros(n, np.int64), np.zeros((n, rank))
-    for at, d, x in zip(whole["at"].to_pylist(), whole["df"], whole["z"], strict=True):
+    df, z, seen = np.zeros(n, np.int64), np.zeros((n, rank)), np.zeros(n_words, np.int64)
+    for at, d, x, y in zip(whole["at"].to_pylist(), whole["df"], whole["z"], whole["seen"], strict=True):
+        b = at // at_once * words_at_once
+        seen[b : b + words_at_once] = np.frombuffer(y.as_buffer(), np.int64)
         df[at : at + at_once] = np.frombuffer(d.as_buffer(), np.int64)
         z[at : at + at_once] = np.frombuffer(x.as_buffer(), np.float64).reshape(-1, rank)
-    return int(np.asarray(whole["n"]).sum()) if len(whole) else 0, df, z
+    return int(np.asarray(whole["n"]).sum()) if len(whole) else 0, df, z, seen
 
 
 def projection(n_passages: int, df: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -197,12 +208,101 @@ def common_subsequence(masks: np.ndarray, part: np.ndarray, size: np.ndarray, wo
     return np.bitwise_count(~v & inside).astype(np.int64)
 
 
-def search(items: Items, by_term: np.ndarray, latent: np.ndarray, owner: np.ndarray, column: pa.Array, min_cosine: float) -> tuple[np.ndarray, ...]:
+class Exact(NamedTuple):
+    """By which words a text must be compared with a part."""
+
+    first: np.ndarray  # parts that ask for word w: part[first[w]:first[w + 1]]
+    part: np.ndarray
+    least: np.ndarray  # of its words, those that surroundings must hold, by part
+    ends: np.ndarray  # whether an answer ends with the word
+    answer: np.ndarray  # sorted keys of the answers
+    answer_of: np.ndarray
+
+
+def answer_keys(words: np.ndarray) -> np.ndarray:
+    key = np.zeros(len(words), np.uint64)
+    for j in range(words.shape[1]):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + words[:, j].astype(np.uint64) + np.uint64(1)
+    return key
+
+
+def exact_index(items: Items, seen: np.ndarray) -> Exact:
+    """Of each part the share of its rarest words that costs least: few lookups, but seldom enough of them by chance."""
+    rate = seen / max(1, seen.sum())
+    asks, least = [], np.empty(len(items.part), np.int64)
+    for k, p in enumerate(items.part):
+        needed = int(np.ceil(LCS_SHARE * len(p)))
+        order = np.argsort(seen[p], kind="stable")
+        ordered = p[order]
+        new = np.zeros(len(p), bool)
+        new[np.unique(ordered, return_index=True)[1]] = True
+        sums = np.cumsum(np.where(new, rate[ordered], 0))[len(p) - needed :]  # for j = 1, 2, ..., needed
+        mean = sums * 2 * (BLOCK + len(p))
+        j = np.arange(needed)
+        # Chance that a word has j others about it, as for independent words.
+        below = np.exp(-mean)[:, None] * np.cumprod(np.where(j > 0, mean[:, None] / np.maximum(j, 1), 1), 1)
+        chance = np.maximum(0, 1 - np.where(j < j[:, None], below, 0).sum(1))
+        best = int(np.argmin(sums * (1 + CHECK * chance)))
+        least[k] = best + 1
+        asks.append(np.unique(ordered[: len(p) - needed + best + 1]))
+    word, part = np.concatenate(asks), np.repeat(np.arange(len(asks)), [len(x) for x in asks])
+    order = np.argsort(word, kind="stable")
+    ends = np.zeros(len(items.words) + 1, bool)
+    tails = np.array([p[-ANSWER:] for p in items.part])
+    ends[tails[:, -1]] = True
+    keys = answer_keys(tails)
+    by = np.argsort(keys, kind="stable")
+    return Exact(np.searchsorted(word[order], np.arange(len(items.words) + 2)), part[order], least, ends, keys[by], by)
+
+
+def ragged(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, place) for all places first[k], ..., first[k] + size[k] - 1."""
+    k = np.repeat(np.arange(len(size)), size)
+    return k, first[k] + np.arange(len(k)) - (np.cumsum(size) - size)[k]
+
+
+def exact_candidates(items: Items, exact: Exact, p: Passages) -> tuple[np.ndarray, np.ndarray]:
+    """(block, part): all whose surroundings hold enough of the part's rarest words, or its answer."""
+    sizes = np.array([len(x) for x in items.part])
+    asked = np.flatnonzero(exact.first[p.word + 1] > exact.first[p.word])
+    k, place = ragged(exact.first[p.word[asked]], np.diff(exact.first)[p.word[asked]])
+    part, low = exact.part[place], asked[k]
+    order = np.lexsort((low, part))
+    part, low = part[order], low[order]
+    last = np.arange(len(part)) + exact.least[part] - 1
+    at = np.flatnonzero(last < len(part))
+    last = last[at]
+    good = (part[last] == part[at]) & (p.t.row[low[last]] == p.t.row[low[at]]) & (low[last] - low[at] < 2 * (BLOCK + sizes[part[at]]))
+    part, begin, end = part[at[good]], low[at[good]], low[last[good]]
+    tail = np.flatnonzero(exact.ends[p.word])
+    tail = tail[tail - p.t.first[p.t.row[tail]] >= ANSWER - 1]
+    keys = answer_keys(p.word[tail[:, None] + np.arange(1 - ANSWER, 1)])
+    a, b = np.searchsorted(exact.answer, keys), np.searchsorted(exact.answer, keys, side="right")
+    k, place = ragged(a, b - a)
+    part, begin, end = np.concatenate([part, exact.answer_of[place]]), np.concatenate([begin, tail[k] - ANSWER + 1]), np.concatenate([end, tail[k]])
+    # Blocks whose surroundings hold the words from begin to end.
+    row, size = p.t.row[begin], sizes[part]
+    start = p.t.first[row]
+    a = np.maximum(0, -((2 * BLOCK + size + start - end - 1) // BLOCK))
+    b = np.minimum(p.first[row + 1] - p.first[row] - 1, (begin + size - start) // BLOCK)
+    k, block = ragged(p.first[row] + a, np.maximum(0, b - a + 1))
+    key = np.unique(block * len(sizes) + part[k])
+    return key // len(sizes), key % len(sizes)
+
+
+def cosine_of(vectors: np.ndarray, norm: np.ndarray, latent: np.ndarray, owner: np.ndarray, block: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The greatest cosine of each block with a window of its part; 0 where there is none."""
+    first, end = np.searchsorted(owner, part), np.searchsorted(owner, part, side="right")
+    k, place = ragged(first, end - first)
+    out = np.where((end > first) & (norm[block] > 0), -1, 0).astype(np.float32)
+    np.maximum.at(out, k, (vectors[block[k]] * latent[place]).sum(1) / np.where(norm[block[k]] > 0, norm[block[k]], 1))
+    return out
+
+
+def search(items: Items, by_term: np.ndarray, latent: np.ndarray, owner: np.ndarray, exact: Exact, column: pa.Array, min_cosine: float) -> tuple[np.ndarray, ...]:
     """(row, part, common words, cosine, has answer) of the pairs that pass."""
     p = passages(items, column)
     none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))
-    if not len(p.term):
-        return none
     count = np.bincount(p.block, minlength=len(p.row))
     count[p.pairs] += count[p.pairs + 1]
     vectors = p.sums(by_term)
@@ -210,7 +310,8 @@ def search(items: Items, by_term: np.ndarray, latent: np.ndarray, owner: np.ndar
     some = np.flatnonzero((count >= MIN_TERMS) & (norm > 0))
     # A passage that holds a whole short part has other words too, and so a lesser cosine.
     limit = (min_cosine * np.minimum(1, np.array([len(x) for x in items.part]) / (2 * BLOCK)))[owner].astype(np.float32)
-    blocks, parts, cosines = [], [], []
+    more = exact_candidates(items, exact, p)
+    blocks, parts, cosines = [more[0]], [more[1]], [np.full(len(more[0]), -2, np.float32)]
     for a in range(0, len(some), 4096):
         at = some[a : a + 4096]
         cosine = (vectors[at] / norm[at, None]) @ latent.T
@@ -218,7 +319,7 @@ def search(items: Items, by_term: np.ndarray, latent: np.ndarray, owner: np.ndar
         blocks.append(at[i])
         parts.append(owner[j])
         cosines.append(cosine[i, j])
-    if not blocks or not sum(map(len, blocks)):
+    if not sum(map(len, blocks)):
         return none
     block, part, cosine = np.concatenate(blocks), np.concatenate(parts), np.concatenate(cosines)
     # One check for each passage and part.
@@ -248,7 +349,10 @@ def search(items: Items, by_term: np.ndarray, latent: np.ndarray, owner: np.ndar
         whole = lcs[at] >= LCS_SHARE * size[at]
         answer[at][whole] = True
     good = answer | (lcs >= LCS_SHARE * size)
-    return row[good], part[good], lcs[good], cosine[good], answer[good]
+    row, part, block, lcs, cosine, answer = row[good], part[good], block[good], lcs[good], cosine[good], answer[good]
+    new = np.flatnonzero(cosine == -2)
+    cosine[new] = cosine_of(vectors, norm, latent, owner, block[new], part[new])
+    return row, part, lcs, cosine, answer
 
 
 def item_windows(items: Items, by_term: np.ndarray, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -285,6 +389,7 @@ class Index(NamedTuple):
     by_term: np.ndarray
     latent: np.ndarray
     owner: np.ndarray
+    exact: Exact
 
 
 def indexes(rows: DataFrame, benchmark: DataFrame, rank: int) -> Iterator[Index]:
@@ -294,8 +399,9 @@ def indexes(rows: DataFrame, benchmark: DataFrame, rank: int) -> Iterator[Index]
     for group in range(groups):
         items = read_items(asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == group).toArrow())
         if items is not None:
-            by_term = projection(*gather(rows, items, rank))
-            yield Index(items, by_term, *item_windows(items, by_term))
+            *sums, seen = gather(rows, items, rank)
+            by_term = projection(*sums)
+            yield Index(items, by_term, *item_windows(items, by_term), exact_index(items, seen))
 
 
 def found_by(rows: DataFrame, index: Index, min_cosine: float) -> DataFrame:
