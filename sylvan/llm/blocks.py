@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sylvan.llm.util import BLOCK_BYTES, shared_dir, slices
 
-MANIFEST = "block int, path string"
-#: Blocks that one task may write.
-PER_TASK = 1024
+MANIFEST = "block long, path string"
+#: Numbers of blocks that each task has of its own.
+PER_TASK = 1 << 32
 
 
 def file_system(path: str):  # noqa: ANN201
@@ -35,21 +35,20 @@ def store_blocks(spark: SparkSession, df: DataFrame, at: int, block_bytes: int =
 
         def close() -> pa.RecordBatch:
             nonlocal k, held, size
-            system, final = file_system(f"{folder}/blocks/{task.partitionId():07d}-{k:04d}.parquet")
+            system, final = file_system(f"{folder}/blocks/{task.partitionId():07d}-{k:06d}.parquet")
             temp = f"{os.path.dirname(final)}/_open-{task.taskAttemptId()}-{k}"
             system.create_dir(os.path.dirname(final), recursive=True)
             with system.open_output_stream(temp, compression=None) as out:
                 pq.write_table(pa.Table.from_batches(held), out, compression="zstd", use_dictionary=False, write_statistics=False)
             system.move(temp, final)
-            made = pa.RecordBatch.from_arrays([pa.array([task.partitionId() * PER_TASK + k], pa.int32()), pa.array([f"{folder}/blocks/{os.path.basename(final)}"])], ["block", "path"])
+            made = pa.RecordBatch.from_arrays([pa.array([task.partitionId() * PER_TASK + k], pa.int64()), pa.array([f"{folder}/blocks/{os.path.basename(final)}"])], ["block", "path"])
             k, held, size = k + 1, [], 0
             return made
 
         for part in slices(batches, at, block_bytes):
             held.append(part)
             size += part.column(at).nbytes
-            # The last block of a task takes all that is left over.
-            if size >= block_bytes and k < PER_TASK - 1:
+            if size >= block_bytes:
                 yield close()
         if held:
             yield close()

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from sylvan.llm.blocks import read_block, spread
 from sylvan.llm.util import grouped
 
-SENT = "bucket int, block int, keys binary, vals binary"
-ANSWERS = "block int, bucket int, answers binary, stats array<bigint>"
+SENT = "bucket int, block long, keys binary, vals binary"
+ANSWERS = "block long, bucket int, answers binary, stats array<bigint>"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -52,10 +52,16 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(out, dtype=np.uint64)
 
 
-def bounds(keys: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n buckets of equal key range begins in sorted keys, and the end."""
-    edges = np.array([-(-(b << 64) // n) for b in range(1, n)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
+def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """The one of n buckets of equal key range that each key falls into."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def bounds(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the buckets that sorted keys fall into, where each begins, and the end)."""
+    own = bucket_of(keys, n)
+    heads = np.flatnonzero(np.diff(own, prepend=-1))
+    return own[heads], np.append(heads, len(keys))
 
 
 def group_sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,16 +79,15 @@ Answer = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list[int]]]
 
 
 def answer_batch(blocks: np.ndarray, bucket: int, answers: list[bytes], stats: list[int] | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([bucket] * len(blocks), pa.int32()), pa.array(answers, pa.binary()), pa.array([stats] * len(blocks), pa.list_(pa.int64()))], ["block", "bucket", "answers", "stats"])
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([bucket] * len(blocks), pa.int32()), pa.array(answers, pa.binary()), pa.array([stats] * len(blocks), pa.list_(pa.int64()))], ["block", "bucket", "answers", "stats"])
 
 
 def sent_by(block: int, keys: np.ndarray, vals: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    cuts = bounds(keys, n_buckets)
-    full = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+    full, cuts = bounds(keys, n_buckets)
     for at in range(0, len(full), 256):
-        part = full[at : at + 256]
-        packed = [pa.array([f(x[cuts[b] : cuts[b + 1]]) for b in part], pa.binary()) for f, x in ((pack_sorted, keys), (pack, vals))]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([block] * len(part), pa.int32()), *packed], ["bucket", "block", "keys", "vals"])
+        part = range(at, min(at + 256, len(full)))
+        packed = [pa.array([f(x[cuts[k] : cuts[k + 1]]) for k in part], pa.binary()) for f, x in ((pack_sorted, keys), (pack, vals))]
+        yield pa.RecordBatch.from_arrays([pa.array(full[part.start : part.stop], pa.int32()), pa.array([block] * len(part), pa.int64()), *packed], ["bucket", "block", "keys", "vals"])
 
 
 def answered(sent: DataFrame, answer: Answer, n_buckets: int) -> DataFrame:

@@ -1,18 +1,20 @@
 """Exact removal of repeated substrings by a common-prefix-aware distributed merge sort of suffixes.
 
 Every byte that a string of `length` bytes covers which also starts anywhere else is removed. Windows fall into cells by a
-content-defined anchor (see windows), and only windows with equal anchor blocks can be equal. So:
+content-defined anchor (see windows), and only windows with equal anchor blocks, at equal distance, can be equal. So:
 
-1. Blocks of documents tell which anchor blocks they hold; those that no other cell has are out.
-2. Each block sorts the suffixes of its other cells, each as long as the cell's windows reach, and sends them as sorted
-   runs, front-coded (shared prefix length, rest), to the bucket of their anchor.
-3. A bucket merges the runs with a loser tree that keeps for each entry how many bytes it shares with the last winner and
-   compares bytes only behind those. Equal suffixes come out side by side. Where cells of one anchor differ around it, their
-   windows are compared, byte by byte.
-4. Each block gets back, for each suffix that it sent, which of its windows are repeated, and removes what they cover.
+1. Blocks of documents tell which anchor blocks they hold; those that no other cell has are out. An anchor with over HOT
+   different surroundings (a common line) would make one task's work unbounded: each of its windows becomes a cell of its
+   own, asked for by a hash of all its bytes, and those that come once are out too.
+2. Each block sends, to the bucket of their anchor, the suffixes that start at its other cells' anchors, and the text
+   before the anchors read backwards: two sorted runs, front-coded (shared prefix length, rest).
+3. A bucket merges the runs of either kind with a loser tree that keeps for each entry how many bytes it shares with the
+   last winner and compares bytes only behind those. The shared prefix lengths of both merged orders decide: the window that
+   starts d bytes before an anchor is repeated if another entry shares `length` - d bytes behind it and d bytes before it.
+4. Each block gets back, for each entry that it sent, which of its windows are repeated, and removes what they cover.
 
-Equal cells of one block are sent once, told apart by two 64-bit hashes; nothing else is decided by a hash alone. Blocks are
-files in the shared folder, written once, so the texts are never shuffled and lost executors can read them again.
+Blocks are files in the shared folder, written once, so the texts are never shuffled and lost executors can read them again.
+Bytes decide everywhere; hashes only choose what is compared.
 
 Cases: a null text is empty; texts under `length` bytes keep everything; repeated rows are repeats of each other; a null id
 is treated like any other; overlapping repeats, also in one document, count. No rows give no rows. Only doc_id and text are
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,27 +36,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.llm.blocks import read_block, store_blocks
-from sylvan.llm.exchange import answers_of, bounds, group_sums, look_up_blocks, pack, unpack
+from sylvan.llm.exchange import SENT, answered, answers_of, bounds, group_sums, look_up_blocks, pack, sent_by, unpack
 from sylvan.llm.hashing import mix, span_hashes
 from sylvan.llm.util import bytes_of, grouped, stored
-from sylvan.llm.windows import Cells, cells, rolling
+from sylvan.llm.windows import Cells, cells
 
 LENGTH, ANCHOR = 200, 64
-#: Text of one block; a worker holds about forty times as much.
+#: Text of one block.
 BLOCK_BYTES = 3 << 20
-#: What one block sends to one bucket: a sorted run, where anchors lie in its suffixes, and which come more than once.
-RUNS = "bucket int, block int, run binary, places binary, many binary"
-REPLIES = "block int, bucket int, reply binary"
+#: Different surroundings of an anchor, beyond two for each block, from which its windows are told apart before they are sent.
+HOT = 4096
+#: Strings of a run that are unpacked together.
+CHUNK = 256
+#: What one block sends to one bucket: two sorted runs, the places of their strings among the entries, and which entries
+#: stand for several equal cells.
+RUNS = "bucket int, block long, right binary, left binary, right_of binary, left_of binary, many binary"
+REPLIES = "block long, bucket int, reply binary"
+#: Answers to a block's keys.
+ONCE, REPEATED, COMMON = 0, 1, 2
 
 
 class Sent(NamedTuple):
-    """The suffixes of a block in the order they are sent, and the suffix of each cell that has one."""
+    """The entries of a block in the order they are sent, and the entry of each cell."""
 
-    order: np.ndarray  # first cell of each distinct suffix
+    order: np.ndarray  # first cell of each entry
     many: np.ndarray
     hash: np.ndarray
-    of: np.ndarray  # for each chosen cell, its suffix
-    chosen: np.ndarray
+    of: np.ndarray
 
 
 def shared_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -72,26 +81,39 @@ def shared_prefix(a: bytes, b: bytes, known: int) -> int:
     return low
 
 
+def sized(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + data
+
+
 def front_code(strings: list[bytes]) -> bytes:
-    """A sorted run as shared prefix lengths and rests."""
+    """A sorted run as shared prefix lengths and rests, the latter in chunks."""
     prefix = [0, *(shared_prefix(a, b, 0) for a, b in zip(strings, strings[1:], strict=False))]
-    sizes = pack(np.array([len(s) for s in strings])), pack(np.array(prefix))
-    head = b"".join(len(x).to_bytes(4, "little") + x for x in sizes)
-    return zlib.compress(head + b"".join(s[p:] for s, p in zip(strings, prefix, strict=True)), 1)
+    head = sized(pack(np.array([len(s) for s in strings]))) + sized(pack(np.array(prefix)))
+    rests = [b"".join(s[p:] for s, p in zip(strings[a : a + CHUNK], prefix[a : a + CHUNK], strict=True)) for a in range(0, len(strings), CHUNK)]
+    return b"".join(sized(zlib.compress(x, 1)) for x in (head, *rests))
 
 
 def run_of(data: bytes) -> Iterator[tuple[bytes, int]]:
-    """The strings of a front-coded run, each with its shared prefix length."""
-    raw, at, parts = zlib.decompress(data), 0, []
-    for _ in range(2):
-        size = int.from_bytes(raw[at : at + 4], "little")
-        parts.append(unpack(raw[at + 4 : at + 4 + size]).tolist())
-        at += 4 + size
+    """The strings of a front-coded run, each with what it shares with the one before; one chunk is unpacked at a time."""
+
+    def parts() -> Iterator[bytes]:
+        at = 0
+        while at < len(data):
+            size = int.from_bytes(data[at : at + 4], "little")
+            yield zlib.decompress(data[at + 4 : at + 4 + size])
+            at += 4 + size
+
+    chunks = parts()
+    head = next(chunks)
+    cut = 4 + int.from_bytes(head[:4], "little")
+    sizes, prefixes = unpack(head[4:cut]).tolist(), unpack(head[cut + 4 :]).tolist()
     last = b""
-    for size, prefix in zip(*parts, strict=True):
-        last = last[:prefix] + raw[at : at + size - prefix]
-        at += size - prefix
-        yield last, prefix
+    for a in range(0, len(sizes), CHUNK):
+        raw, at = next(chunks), 0
+        for size, prefix in zip(sizes[a : a + CHUNK], prefixes[a : a + CHUNK], strict=True):
+            last = last[:prefix] + raw[at : at + size - prefix]
+            at += size - prefix
+            yield last, prefix
 
 
 def merge_runs(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[bytes, int, int]]:
@@ -147,19 +169,28 @@ def merge_runs(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[bytes,
             node //= 2
 
 
-def to_send(c: Cells, data: np.ndarray, wanted: np.ndarray, length: int) -> Sent:
-    """Distinct suffixes of the wanted cells, by anchor hash."""
-    chosen = np.flatnonzero(wanted)
-    content = mix(span_hashes(data, c.low[chosen], c.high[chosen] + length) ^ (c.anchor[chosen] - c.low[chosen]).astype(np.uint64))
-    by = np.lexsort((content, c.hash[chosen]))
-    h, x = c.hash[chosen][by], content[by]
-    new = np.ones(len(by), bool)
-    new[1:] = (h[1:] != h[:-1]) | (x[1:] != x[:-1])
-    group = np.cumsum(new) - 1
+def contents(c: Cells, data: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all bytes of each cell and of where its anchor lies in them."""
+    return mix(span_hashes(data, c.low, c.high + length) ^ (c.anchor - c.low).astype(np.uint64))
+
+
+def to_send(c: Cells, data: np.ndarray, length: int) -> Sent:
+    """Equal cells are one entry; entries are ordered by anchor hash."""
+    content = contents(c, data, length)
+    while True:
+        by = np.lexsort((content, c.hash))
+        h, x = c.hash[by], content[by]
+        new = np.ones(len(by), bool)
+        new[1:] = (h[1:] != h[:-1]) | (x[1:] != x[:-1])
+        group, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+        first = by[heads][group]
+        other = [int(k) for k, f in zip(by[~new], first[~new], strict=True) if c.high[k] - c.low[k] != c.high[f] - c.low[f] or not np.array_equal(data[c.low[k] : c.high[k] + length], data[c.low[f] : c.high[f] + length])]
+        if not other:
+            break
+        content[other] += np.arange(1, len(other) + 1, dtype=np.uint64)  # hashes that meet by chance
     of = np.empty(len(by), np.int64)
     of[by] = group
-    heads = np.flatnonzero(new)
-    return Sent(chosen[by[heads]], np.diff(np.append(heads, len(by))) > 1, h[heads], of, chosen)
+    return Sent(by[heads], np.diff(np.append(heads, len(by))) > 1, h[heads], of)
 
 
 def block_cells(rows: pa.Table, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, Cells]:
@@ -167,123 +198,148 @@ def block_cells(rows: pa.Table, length: int, anchor: int) -> tuple[np.ndarray, n
     return data, offsets, cells(data, offsets, length, anchor)
 
 
-def anchor_keys(c: Cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct anchor hashes, how many cells have each (2: or more), and the place of each cell's."""
-    keys, at, counts = np.unique(c.hash, return_inverse=True, return_counts=True)
-    return keys, np.minimum(counts, 2), at
+def anchor_keys(c: Cells, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct anchor hashes, and how many different cells have each (2 at least, if it has several)."""
+    content = contents(c, data, length)
+    by = np.lexsort((content, c.hash))
+    h, x = c.hash[by], content[by]
+    key = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+    new = np.ones(len(h), np.int64)
+    new[1:] = (h[1:] != h[:-1]) | (x[1:] != x[:-1])
+    different = np.add.reduceat(new, key) if len(key) else key
+    return h[key], np.maximum(different, np.minimum(np.diff(np.append(key, len(h))), 2))
 
 
 def repeated(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    order, group, sums = group_sums(keys, counts)
+    """ONCE, REPEATED or COMMON for each key; how many are common."""
+    order, group, sums = group_sums(keys, counts.astype(np.int64))
+    blocks = np.bincount(group, minlength=len(sums))
+    verdict = np.where(sums <= 1, ONCE, np.where(sums - 2 * blocks > HOT, COMMON, REPEATED))
     out = np.empty(len(keys), np.uint64)
-    out[order] = (sums > 1)[group]
-    return out, []
+    out[order] = verdict[group]
+    return out, [int((verdict == COMMON).sum())]
+
+
+def chosen(c: Cells, which: np.ndarray) -> Cells:
+    return Cells(*(x[which] for x in c))
+
+
+def verdicts(c: Cells, back: pa.Table) -> np.ndarray:
+    """The answer to each cell's anchor."""
+    keys, at = np.unique(c.hash, return_inverse=True)
+    return answers_of(back)[at] if len(keys) else np.empty(0, np.uint64)
+
+
+def windows_alone(c: Cells, data: np.ndarray, length: int) -> Cells:
+    """Each window of the cells as a cell of its own, whose anchor is its start."""
+    size = c.high - c.low + 1
+    start = np.repeat(c.low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return Cells(start, start, start, span_hashes(data, start, start + length))
+
+
+def window_keys(c: Cells, data: np.ndarray, length: int, back: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the windows of common anchors, and how many have each, up to 2."""
+    keys, counts = np.unique(windows_alone(chosen(c, verdicts(c, back) == COMMON), data, length).hash, return_counts=True)
+    return keys, np.minimum(counts, 2)
+
+
+def entries(c: Cells, data: np.ndarray, length: int, back: pa.Table, windows_back: pa.Table) -> Cells:
+    """The cells that may be repeated, and the windows of common anchors that may, by place."""
+    verdict = verdicts(c, back)
+    some, alone = chosen(c, verdict == REPEATED), windows_alone(chosen(c, verdict == COMMON), data, length)
+    if len(alone.low):
+        alone = chosen(alone, verdicts(alone, windows_back) != ONCE)
+    both = Cells(*(np.concatenate(x) for x in zip(some, alone, strict=True)))
+    return chosen(both, np.argsort(both.low, kind="stable"))
 
 
-def runs_of_block(block: int, c: Cells, data: np.ndarray, wanted: np.ndarray, length: int, n: int) -> pa.Table:
+def runs_of_block(block: int, c: Cells, data: np.ndarray, length: int, n: int) -> pa.Table:
     """RUNS of one block, for each bucket that its anchors fall into."""
-    sent = to_send(c, data, wanted, length)
-    cuts, out = bounds(sent.hash, n), []
-    for bucket in np.flatnonzero(cuts[1:] > cuts[:-1]):
-        a, b = cuts[bucket], cuts[bucket + 1]
+    sent = to_send(c, data, length)
+    buckets, cuts = bounds(sent.hash, n)
+    columns: dict[str, list] = {x.split()[0]: [] for x in RUNS.split(", ")}
+    for k, bucket in enumerate(buckets.tolist()):
+        a, b = cuts[k], cuts[k + 1]
         own = sent.order[a:b]
-        strings = [data[x:y].tobytes() for x, y in zip(c.low[own].tolist(), (c.high[own] + length).tolist(), strict=True)]
-        by = sorted(range(b - a), key=strings.__getitem__)
-        places, many = (c.anchor[own] - c.low[own])[by], sent.many[a:b][by]
-        # The order of the run, so that the block can tell its suffixes again.
-        out.append((int(bucket), block, front_code([strings[i] for i in by]), pack(places), pack(many)))
-    columns = list(zip(*out, strict=True)) or [()] * 5
-    return pa.table({"bucket": pa.array(columns[0], pa.int32()), "block": pa.array(columns[1], pa.int32()), "run": pa.array(columns[2], pa.binary()), "places": pa.array(columns[3], pa.binary()), "many": pa.array(columns[4], pa.binary())})
-
-
-def window_repeats(strings: list[bytes], groups: np.ndarray, many: np.ndarray, length: int) -> list[np.ndarray]:
-    """For distinct suffixes whose anchors are equal in a group but not all around it: which windows of each are repeated."""
-    sizes = np.array([len(s) for s in strings])
-    data, ends = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(strings)), sizes - length + 1)
-    inner = np.arange(len(owner)) - np.repeat(np.cumsum(sizes - length + 1) - (sizes - length + 1), sizes - length + 1)
-    start = (ends - sizes)[owner] + inner
-    h = rolling(data, length)[start]
-    by = np.lexsort((h, groups[owner]))
-    equal = np.zeros(len(by), bool)
-    cand = np.flatnonzero((h[by][1:] == h[by][:-1]) & (groups[owner][by][1:] == groups[owner][by][:-1]))
-    span = np.arange(length)
-    for at in range(0, len(cand), 1 << 14):  # the hash only proposes
-        some = cand[at : at + (1 << 14)]
-        equal[some + 1] = (data[start[by[some]][:, None] + span] == data[start[by[some + 1]][:, None] + span]).all(1)
-    hit = np.zeros(len(by), bool)
-    hit[by] = equal | np.append(equal[1:], False)
-    hit |= many[owner]
-    return np.split(hit, np.cumsum(sizes - length + 1)[:-1])
+        row = {"bucket": bucket, "block": block, "many": pack(sent.many[a:b])}
+        for side, low, high, step in (("right", c.anchor[own], c.high[own] + length, 1), ("left", c.low[own], c.anchor[own], -1)):
+            strings = [data[x:y][::step].tobytes() for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+            by = sorted(range(len(strings)), key=strings.__getitem__)
+            row |= {side: front_code([strings[i] for i in by]), f"{side}_of": pack(np.array(by))}
+        for name, value in row.items():
+            columns[name].append(value)
+    types = {"bucket": pa.int32(), "block": pa.int64()}
+    return pa.table({name: pa.array(values, types.get(name, pa.binary())) for name, values in columns.items()})
+
+
+class Order(NamedTuple):
+    """The strings of all runs in merged order."""
+
+    place: np.ndarray  # of each entry
+    shared: np.ndarray  # with the string before, by place; and 0 at the end
+    size: np.ndarray  # by entry
+
+    def near(self) -> np.ndarray:
+        """The most that each entry's string shares with any other."""
+        return np.maximum(self.shared[self.place], self.shared[self.place + 1])
+
+    def classes(self, size: int, some: np.ndarray) -> np.ndarray:
+        """Equal numbers for entries whose strings share `size` bytes, for strings as long as that."""
+        return np.cumsum(self.shared < size)[self.place[some]]
+
+
+def merged_order(runs: pa.ChunkedArray, of: list[np.ndarray]) -> Order:
+    first = np.cumsum([0, *map(len, of)])
+    seen = [0] * len(of)
+    entry, shared, size = array("q"), array("i"), array("i")
+    for string, same, run in merge_runs([run_of(x.as_py()) for x in runs]):
+        entry.append(first[run] + of[run][seen[run]])
+        shared.append(same)
+        size.append(len(string))
+        seen[run] += 1
+    by = np.frombuffer(entry, np.int64)
+    place, sizes = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+    place[by], sizes[by] = np.arange(len(by)), np.frombuffer(size, np.int32)
+    return Order(place, np.append(np.frombuffer(shared, np.int32), 0), sizes)
 
 
 def judge(rows: pa.Table, length: int, anchor: int) -> list[bytes]:
-    """For each run of a bucket, a code for each string (0 nothing, 1 all windows, 2 some) and the bits of the latter."""
-    places, many = [unpack(x.as_py()) for x in rows["places"]], [unpack(x.as_py()) for x in rows["many"]]
-    seen = [0] * len(places)
-    suffixes: list[tuple[bytes, bytes, bool]] = []  # string, anchor block, repeated
-    where: list[list[int]] = [[] for _ in places]
-    for string, same, run in merge_runs([run_of(x.as_py()) for x in rows["run"]]):
-        i = seen[run]
-        seen[run] += 1
-        twice = bool(many[run][i])
-        if suffixes and same == len(string) == len(suffixes[-1][0]):
-            suffixes[-1] = (*suffixes[-1][:2], True)
-        else:
-            d = int(places[run][i])
-            suffixes.append((string, string[d : d + anchor], twice))
-        where[run].append(len(suffixes) - 1)
-    by_anchor: dict[bytes, list[int]] = {}
-    for i, (_, key, _) in enumerate(suffixes):
-        by_anchor.setdefault(key, []).append(i)
-    codes = np.array([x[2] for x in suffixes], np.uint8)
-    bits: dict[int, np.ndarray] = {}
-    mixed = [m for m in by_anchor.values() if len(m) > 1 and not codes[m].all()]
-    held: list[int] = []
-    groups: list[int] = []
-    total = 0
-    for g, m in enumerate([*mixed, []]):
-        held += m
-        groups += [g] * len(m)
-        total += sum(len(suffixes[i][0]) for i in m)
-        if held and (total > 2 << 20 or not m):
-            for i, hit in zip(held, window_repeats([suffixes[i][0] for i in held], np.array(groups), codes[held].astype(bool), length), strict=True):
-                if not codes[i] and hit.any():
-                    codes[i], bits[i] = (1, hit) if hit.all() else (2, hit)
-            held, groups, total = [], [], 0
-    replies = []
-    for own in where:
-        code = codes[own]
-        replies.append(zlib.compress(code.tobytes() + b"".join(np.packbits(bits[own[i]]).tobytes() for i in np.flatnonzero(code == 2)), 1))
-    return replies
-
-
-def covered(block: int, c: Cells, data: np.ndarray, wanted: np.ndarray, replies: dict[int, bytes], length: int, n: int) -> np.ndarray:
-    """Which bytes the repeated windows cover."""
-    sent = to_send(c, data, wanted, length)
-    cuts = bounds(sent.hash, n)
+    """For each run of a bucket, a code for each entry (0 nothing, 1 all its windows, 2 some) and the bits of the latter,
+    by how far before the anchor the windows start."""
+    sides = [merged_order(rows[side], [unpack(x.as_py()).astype(np.int64) for x in rows[f"{side}_of"]]) for side in ("right", "left")]
+    right, left = sides
+    many = np.concatenate([unpack(x.as_py()) for x in rows["many"]]) > 0
+    n, width = len(many), length - anchor + 1
+    bits = np.zeros((n, (width + 7) // 8), np.uint8)
+    low = length - np.minimum(right.size, right.near())
+    high = np.minimum(left.size, left.near())
+    for d in range(width):
+        some = np.flatnonzero((low <= d) & (d <= high))
+        _, at, counts = np.unique(right.classes(length - d, some) * (n + 1) + left.classes(d, some), return_inverse=True, return_counts=True)
+        bits[some[counts[at] > 1], d >> 3] |= np.uint8(1 << (d & 7))
+    found = np.bitwise_count(bits).sum(1)
+    codes = np.where(many | (found == left.size - (length - right.size) + 1), 1, np.where(found > 0, 2, 0)).astype(np.uint8)
+    cuts = np.cumsum([0, *(len(unpack(x.as_py())) for x in rows["many"])])
+    return [zlib.compress(codes[a:b].tobytes() + bits[a:b][codes[a:b] == 2].tobytes(), 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def covered(c: Cells, data: np.ndarray, replies: dict[int, bytes], length: int, anchor: int, n: int) -> np.ndarray:
+    """Which bytes the repeated windows of the entries cover."""
+    sent = to_send(c, data, length)
+    buckets, cuts = bounds(sent.hash, n)
+    code, bits = np.zeros(len(sent.order), np.uint8), np.zeros((len(sent.order), (length - anchor + 8) // 8), np.uint8)
+    for k, bucket in enumerate(buckets.tolist()):
+        a, b = int(cuts[k]), int(cuts[k + 1])
+        reply = np.frombuffer(zlib.decompress(replies[bucket]), np.uint8)
+        code[a:b] = reply[: b - a]
+        bits[a:b][code[a:b] == 2] = reply[b - a :].reshape(-1, bits.shape[1])
+    whole, some = (np.flatnonzero(code[sent.of] == k) for k in (1, 2))
+    cell, d = np.nonzero(np.unpackbits(bits[sent.of[some]], axis=1, bitorder="little"))
+    start = c.anchor[some[cell]] - d
     edge = np.zeros(len(data) + 1, np.int32)
-    code, bits = np.zeros(len(sent.order), np.uint8), {}
-    for bucket in np.flatnonzero(cuts[1:] > cuts[:-1]):
-        a, b = int(cuts[bucket]), int(cuts[bucket + 1])
-        own = sent.order[a:b]
-        strings = [data[x:y].tobytes() for x, y in zip(c.low[own].tolist(), (c.high[own] + length).tolist(), strict=True)]
-        by = np.array(sorted(range(b - a), key=strings.__getitem__))
-        reply = np.frombuffer(zlib.decompress(replies[int(bucket)]), np.uint8)
-        code[a + by] = reply[: b - a]
-        at = b - a
-        for i in by[reply[: b - a] == 2]:
-            size = int(c.high[own[i]] - c.low[own[i]]) + 1
-            bits[a + int(i)] = np.unpackbits(reply[at : at + (size + 7) // 8])[:size].astype(bool)
-            at += (size + 7) // 8
-    of = code[sent.of]
-    whole = sent.chosen[of == 1]
-    np.add.at(edge, c.low[whole], 1)
-    np.subtract.at(edge, c.high[whole] + length, 1)
-    for cell, suffix in zip(sent.chosen[of == 2], sent.of[of == 2], strict=True):
-        hit = np.flatnonzero(bits[int(suffix)]) + c.low[cell]
-        np.add.at(edge, hit, 1)
-        np.subtract.at(edge, hit + length, 1)
+    for first, last in ((c.low[whole], c.high[whole]), (start, start)):
+        np.add.at(edge, first, 1)
+        np.subtract.at(edge, last + length, 1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -298,32 +354,47 @@ def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
     n = max(1, manifest.count())
 
     def emit(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return anchor_keys(block_cells(block, length, anchor)[2])[:2]
+        data, _, c = block_cells(block, length, anchor)
+        return anchor_keys(c, data, length)
 
     anchors = stored(spark, look_up_blocks(manifest, emit, repeated, n), "anchors")
-    asked = anchors.filter("block >= 0").select("block", "bucket", "answers")
+    # Dealt by number: by its bytes alone a manifest would be coalesced into a few tasks.
+    manifest = manifest.repartition(n, "block")
+    asked = anchors.filter("block >= 0").select("block", "bucket", "answers", F.lit(1).alias("kind"))
+    if anchors.agg(F.sum(F.element_at("stats", 1))).first()[0]:
+
+        def ask(entry: pa.Table, back: pa.Table) -> pa.Table:
+            block, rows = read_block(entry)
+            data, _, c = block_cells(rows, length, anchor)
+            sent = list(sent_by(block, *window_keys(c, data, length, back), n))
+            return pa.Table.from_batches(sent) if sent else pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "vals": pa.array([], pa.binary())})
+
+        sent = manifest.groupBy("block").cogroup(asked.repartition(n, "block").groupBy("block")).applyInArrow(ask, SENT)
+        windows = stored(spark, answered(sent, repeated, n), "windows")
+        asked = asked.union(windows.filter("block >= 0").select("block", "bucket", "answers", F.lit(2).alias("kind")))
+
+    def entries_of(rows: pa.Table, back: pa.Table) -> tuple[np.ndarray, np.ndarray, Cells]:
+        data, offsets, c = block_cells(rows, length, anchor)
+        first, second = (back.filter(pa.compute.equal(back["kind"], k)) for k in (1, 2))
+        return data, offsets, entries(c, data, length, first, second)
 
     def send(entry: pa.Table, back: pa.Table) -> pa.Table:
         block, rows = read_block(entry)
-        data, _, c = block_cells(rows, length, anchor)
-        return runs_of_block(block, c, data, answers_of(back)[anchor_keys(c)[2]] > 0 if len(c.low) else np.zeros(0, bool), length, n)
+        data, _, c = entries_of(rows, back)
+        return runs_of_block(block, c, data, length, n)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, runs in grouped(batches, "bucket"):
             yield pa.RecordBatch.from_arrays([runs["block"].combine_chunks(), pa.array([bucket] * runs.num_rows, pa.int32()), pa.array(judge(runs, length, anchor), pa.binary())], ["block", "bucket", "reply"])
 
-    # Dealt by number: by its bytes alone a manifest would be coalesced into a few tasks.
-    manifest = manifest.repartition(n, "block")
     runs = manifest.groupBy("block").cogroup(asked.repartition(n, "block").groupBy("block")).applyInArrow(send, RUNS)
     replies = stored(spark, runs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, REPLIES), "replies")
 
     def finish(entry: pa.Table, back: pa.Table) -> pa.Table:
         block, rows = read_block(entry)
-        data, offsets, c = block_cells(rows, length, anchor)
-        first = back.filter(pa.compute.equal(back["kind"], 1))
-        second = back.filter(pa.compute.equal(back["kind"], 2))
-        wanted = answers_of(first)[anchor_keys(c)[2]] > 0 if len(c.low) else np.zeros(0, bool)
-        gone = covered(block, c, data, wanted, dict(zip(second["bucket"].to_pylist(), second["answers"].to_pylist(), strict=True)), length, n)
+        data, offsets, c = entries_of(rows, back)
+        last = back.filter(pa.compute.equal(back["kind"], 3))
+        gone = covered(c, data, dict(zip(last["bucket"].to_pylist(), last["answers"].to_pylist(), strict=True)), length, anchor, n)
         counts = np.concatenate([[0], np.cumsum(gone)])
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
@@ -333,5 +404,5 @@ def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
         out = {"doc_id": rows["doc_id"], "n_bytes": np.diff(offsets), "n_removed": np.diff(counts[offsets]), "n_spans": np.diff(spans[offsets]), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
         return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if texts else {}))
 
-    both = asked.withColumn("kind", F.lit(1)).union(replies.select("block", "bucket", F.col("reply").alias("answers"), F.lit(2).alias("kind")))
-    return manifest.groupBy("block").cogroup(both.repartition(n, "block").groupBy("block")).applyInArrow(finish, schema)
+    every = asked.union(replies.select("block", "bucket", F.col("reply").alias("answers"), F.lit(3).alias("kind")))
+    return manifest.groupBy("block").cogroup(every.repartition(n, "block").groupBy("block")).applyInArrow(finish, schema)

@@ -22,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a folder of this machine."""
+    """A new folder below spark.checkpoint.dir; where that is unset, and all of Spark is one process (tests), below a folder of
+    this machine. A cluster must name a folder that its machines share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='sylvan-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/sylvan/{tag}-{uuid.uuid4().hex}"
@@ -48,7 +51,7 @@ def n_blocks(df: DataFrame, column: str = "text", block_bytes: int = BLOCK_BYTES
 
 def in_blocks(docs: DataFrame, n: int, *columns: str) -> DataFrame:
     """Documents dealt to n blocks by a hash of their whole row; block k is one key of the exchange."""
-    block = F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+    block = F.pmod(F.xxhash64(*columns), F.lit(n)).cast("long")
     return docs.select(block.alias("block"), *columns)
 
 

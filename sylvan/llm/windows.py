@@ -52,16 +52,30 @@ class Cells(NamedTuple):
     hash: np.ndarray
 
 
+#: Windows that are looked at together; what a block holds beside its text grows with this only.
+SEGMENT = 1 << 19
+
+
 def cells(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> Cells:
-    """Cells of the windows of `length` bytes that lie inside one text."""
-    width = length - anchor + 1
-    if len(data) < length:
+    """Cells of the windows of `length` bytes that lie inside one text. A cell may also end where a segment does."""
+    parts = [segment_cells(data, offsets, a, min(len(data) - length + 1, a + SEGMENT), length, anchor) for a in range(0, len(data) - length + 1, SEGMENT)]
+    if not parts:
         return Cells(*(np.empty(0, np.int64),) * 3, np.empty(0, np.uint64))
-    h = rolling(data, anchor)
+    return Cells(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def segment_cells(data: np.ndarray, offsets: np.ndarray, first: int, last: int, length: int, anchor: int) -> Cells:
+    """Cells of the windows that start in first .. last - 1."""
+    width = length - anchor + 1
+    h = rolling(data[first : last + length - 1], anchor)
     m = least(h, width)
-    valid = np.zeros(len(m), bool)
-    for a, b in zip(offsets.tolist(), offsets.tolist()[1:], strict=False):
-        valid[a : max(a, b - length + 1)] = True
+    # Windows that begin in a text's last length - 1 bytes reach into the next one.
+    step = np.zeros(len(m) + 1, np.int32)
+    begin = np.clip(offsets[:-1] - first, 0, len(m))
+    end = np.maximum(begin, np.clip(offsets[1:] - length + 1 - first, 0, len(m)))
+    np.add.at(step, begin, 1)
+    np.subtract.at(step, end, 1)
+    valid = np.cumsum(step[:-1]) > 0
     starts = valid.copy()
     # A cell goes on where the least hash stays and its place is still inside.
     starts[1:] &= ~(valid[:-1] & (m[1:] == m[:-1]) & (h[: len(m) - 1] != m[:-1]))
@@ -71,10 +85,9 @@ def cells(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> Ce
     todo = np.arange(len(low))
     best = m[low]
     # The first place in the window with that hash; cells are short, so few steps are needed for all but some.
-    step = 0
-    while len(todo) and step < width:
-        hit = h[place[todo]] == best[todo]
-        todo = todo[~hit]
+    k = 0
+    while len(todo) and k < width:
+        todo = todo[h[place[todo]] != best[todo]]
         place[todo] += 1
-        step += 1
-    return Cells(low, stops, place, best)
+        k += 1
+    return Cells(low + first, stops + first, place + first, best)
