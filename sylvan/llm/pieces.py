@@ -36,7 +36,11 @@ BASE = np.uint64(0xD1342543DE82EF95)
 FILTER = 22
 CACHE = 20
 #: Cells of unit, step and length that are searched at once.
-CELLS = 1 << 21
+CELLS = 1 << 19
+#: Texts that are encoded together; a worker holds about thirty times as much.
+SLICE = 1 << 20
+#: Units that are longer are cut where no piece can lie across.
+LONG = 48
 UNIGRAM, BPE = 1, 2
 
 
@@ -57,6 +61,7 @@ class Vocabulary(NamedTuple):
     unknown: int
     dummy: bool  # a space is put before a text
     crossed: bool  # a piece may hold a space behind another character
+    pairs: np.ndarray  # sorted keys of all neighbouring characters in pieces
     out: np.ndarray  # bytes of all pieces for decoding
     out_at: np.ndarray
 
@@ -119,7 +124,8 @@ def load(path: str) -> Vocabulary:
     raw = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b" \xe2\x81\x87 " if p.type == 2 else b"" if p.type == 3 else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
     return Vocabulary(
         kind, pieces, hashes[usable][order], usable[order], maybe, scores, hashes, np.array([len(p) for p in pieces]), int(max(len(pieces[i]) for i in usable)), left, right, rank, byte_ids,
-        next((i for i, p in enumerate(model.pieces) if p.type == 2), 0), model.normalizer_spec.add_dummy_prefix, any(SPACE in p.lstrip(SPACE) for p in (pieces[i] for i in usable)), np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]),
+        next((i for i, p in enumerate(model.pieces) if p.type == 2), 0), model.normalizer_spec.add_dummy_prefix, any(SPACE in p.lstrip(SPACE) for p in (pieces[i] for i in usable)),
+        np.array(sorted({ord(a) << 32 | ord(b) for i in usable for a, b in zip(pieces[i], pieces[i][1:], strict=False)}), np.uint64), np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]),
     )
 
 
@@ -177,6 +183,22 @@ class Meeting:
         return ok
 
 
+def cut_long(v: Vocabulary, units: list[str]) -> tuple[list[str], np.ndarray]:
+    """(parts of all units, how many each has): long units are cut between characters that are neighbours in no piece."""
+    parts: list[str] = []
+    times = np.ones(len(units), np.int64)
+    for i, unit in enumerate(units):
+        if len(unit) <= LONG or not len(v.pairs):
+            parts.append(unit)
+            continue
+        codes = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        pair = codes[:-1] << np.uint64(32) | codes[1:]
+        cuts = [0, *(np.flatnonzero(v.pairs[np.minimum(np.searchsorted(v.pairs, pair), len(v.pairs) - 1)] != pair) + 1).tolist(), len(unit)]
+        parts += [unit[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        times[i] = len(cuts) - 1
+    return parts, times
+
+
 def encode_units(v: Vocabulary, meeting: Meeting, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all units one after the other, where each begins and the end)."""
     sizes = np.array([len(u) for u in units], np.int64)
@@ -269,7 +291,9 @@ def encode(v: Vocabulary, meeting: Meeting, column: pa.Array) -> tuple[np.ndarra
     _, first, inverse = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
     whole = data.tobytes()
     units = [whole[a:b].decode("utf-8", "replace").replace(" ", SPACE) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-    ids, at = encode_units(v, meeting, units)
+    parts, times = cut_long(v, units)
+    ids, at = encode_units(v, meeting, parts)
+    at = at[np.concatenate([[0], np.cumsum(times)])]
     size = np.diff(at)[inverse]
     sums = np.concatenate([[0], np.cumsum(size)])
     flat = ids[np.arange(sums[-1]) + np.repeat(at[inverse] - sums[:-1], size)]
@@ -295,7 +319,8 @@ def decode(v: Vocabulary, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
 
 def with_pieces(docs: DataFrame, path: str, name: str = "pieces", digest: bool = False) -> DataFrame:
     """docs with a column of ids and round_trip, whether decoding gives the text back; digest: instead of the ids n_pieces,
-    ids_sha256 (of little-endian 32-bit ids) and n_bytes (how many are byte pieces)."""
+    ids_sha256 (of little-endian 32-bit ids) and n_bytes (how many are byte pieces). Columns of these names are replaced."""
+    docs = docs.drop(*(("n_pieces", "ids_sha256", "n_bytes") if digest else (name,)), "round_trip")
     v, names, at = load(path), docs.columns, docs.columns.index("text")
     more = [T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("round_trip", T.BooleanType())] if digest else [T.StructField(name, T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
 
@@ -303,7 +328,7 @@ def with_pieces(docs: DataFrame, path: str, name: str = "pieces", digest: bool =
         meeting = Meeting(v)
         is_byte = np.zeros(len(v.pieces), bool)
         is_byte[v.byte_ids[v.byte_ids >= 0]] = True
-        for part in slices(batches, at, 6 << 20):
+        for part in slices(batches, at, SLICE):
             text = pa.compute.fill_null(part.column(at).cast(pa.binary()), b"")
             ids, cuts = encode(v, meeting, text)
             back, ends = decode(v, ids, cuts)
@@ -321,7 +346,8 @@ def with_pieces(docs: DataFrame, path: str, name: str = "pieces", digest: bool =
 
 
 def decoded(docs: DataFrame, path: str, pieces: str = "pieces", name: str = "text") -> DataFrame:
-    """docs with the text of a column of ids."""
+    """docs with the text of a column of ids; a column of its name is replaced."""
+    docs = docs.drop(name)
     v, names, at = load(path), docs.columns, docs.columns.index(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
