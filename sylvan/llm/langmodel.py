@@ -1,13 +1,14 @@
 """Language-model scores by deleted interpolation.
 
 Maximum-likelihood estimates of a bigram, a unigram and a uniform model are mixed. The weights depend on how often the
-context was seen (buckets of powers of two of its count) and are learned by expectation-maximisation on deleted counts:
-each training bigram is estimated from the training text without that one occurrence.
+context was seen (buckets of powers of two of its count) and are learned by expectation-maximisation on held-out counts:
+each block of training texts in turn is held out, and its tokens are estimated from the counts of all other blocks.
 
 Counts are looked up block by block (see exchange), so neither the vocabulary nor the bigrams are ever in one place. For
-the weights each block gives a histogram over quantised estimates, of a fixed size.
+the weights each block gives, for cells of half an octave of either estimate, how many of its tokens fall into the cell and
+the sums of their exact estimates. The number of cells is fixed by the grid, whatever the size of the corpus.
 
-Cases: a null or empty text has one token, its end; a null id is not held out; repeated rows count as often as they come;
+Cases: with one training text there is nothing to hold out and the weights fall to the uniform estimate; a null or empty text has one token, its end; a null id is not held out; repeated rows count as often as they come;
 with no training text every estimate is uniform; no rows give no rows. Only doc_id and text are read.
 """
 
@@ -28,8 +29,8 @@ END, START = (int(x) for x in mix(np.array([1, 2], np.uint64)))
 #: Keys of bigrams have the lowest bit set, those of single tokens have not.
 ONE = np.uint64(1)
 BUCKETS = 24
-#: Stands for the context of a first token until the number of training texts is known.
-FIRST = 1 << 50
+#: Texts are dealt to so many blocks at least, so that there are others where one is held out.
+MIN_BLOCKS = 8
 
 
 def sequence(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,23 +90,18 @@ def bucket(c: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(c > 0, np.log2(np.maximum(c, 1)).astype(int) + 1, 0), BUCKETS - 1)
 
 
-def level(c: np.ndarray) -> np.ndarray:
-    """Counts over 8 to three significant bits, so that the histogram stays small at any size of the corpus."""
-    more = np.maximum(np.log2(np.maximum(c, 1)).astype(np.int64) - 2, 0)
-    return np.where(c > 8, (c >> more) << more, c)
+def half_octave(p: np.ndarray) -> np.ndarray:
+    """Cells of probabilities: -1 for 0, else half-octaves below 1."""
+    return np.where(p > 0, np.floor(-2 * np.log2(np.maximum(p, 1e-300))), -1).astype(np.int64)
 
 
-def expectation(ch: np.ndarray, c1: np.ndarray, c2: np.ndarray, n: np.ndarray, total: int, starts: int, uniform: float, rounds: int = 60) -> np.ndarray:
-    """Weights (bucket of the context, [uniform, unigram, bigram]) from how often counts came together.
-
-    Each occurrence is taken out of its own counts before the estimates are made."""
+def expectation(at: np.ndarray, n: np.ndarray, p1: np.ndarray, p2: np.ndarray, uniform: float, rounds: int = 60) -> np.ndarray:
+    """Weights (bucket of the context, [uniform, unigram, bigram]) from cells: their bucket, tokens, and sums of estimates."""
     weights = np.tile([0.05, 0.35, 0.6], (BUCKETS, 1))
     weights[0] = [0.1, 0.9, 0.0]  # an unseen context has no bigram estimate
     if not len(n):
-        return weights if total else np.tile([1.0, 0.0, 0.0], (BUCKETS, 1))
-    ch = np.where(ch >= level(np.array(FIRST)), starts, ch)
-    p = np.stack([np.full(len(n), uniform), np.maximum(c1 - 1, 0) / max(1, total - 1), np.where(ch > 1, np.clip((c2 - 1) / np.maximum(ch - 1, 1), 0, 1), 0)], 1)
-    at = bucket(ch - 1)
+        return np.tile([1.0, 0.0, 0.0], (BUCKETS, 1))
+    p = np.stack([np.full(len(n), uniform), p1 / n, p2 / n], 1)
     for _ in range(rounds):
         share = weights[at] * p
         share *= (n / np.maximum(share.sum(1), 1e-300))[:, None]
@@ -118,22 +114,26 @@ def language_model(spark: SparkSession, docs: DataFrame, mod: int = 7, rest: int
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for each document."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumn("held_out", held_out(F.col("doc_id"), mod, rest))
-    n = n_blocks(rows)
+    n = max(MIN_BLOCKS, n_blocks(rows))
     blocks = in_blocks(rows, n, "doc_id", "text", "held_out")
     answers = stored(spark, look_up(dealt(blocks, n), emit, totals, n), "counts")
+    vocabulary, n_train, starts = (int(x or 0) for x in answers.agg(*(F.sum(F.element_at("stats", k)) for k in (1, 2, 3))).first())
+    uniform = 1 / (vocabulary + 1)
 
     def gather(table: pa.Table, found: np.ndarray) -> pa.Table:
-        """How often training tokens of the block have each combination of counts of context, token and bigram."""
+        """The block's training tokens, estimated without the block, by cells."""
         _, one, two, row, learn = weighted(table)
-        counts = found.astype(np.int64)
-        triple = np.stack([context_counts(counts[one], row, FIRST), counts[one], counts[two]], 1).astype(np.int64)[learn]
-        cells, times = np.unique(level(triple), axis=0, return_counts=True)
-        return pa.table({"ch": cells[:, 0], "c1": cells[:, 1], "c2": cells[:, 2], "n": times.astype(np.int64)})
-
-    hist = with_answers(blocks, answers, gather, "ch long, c1 long, c2 long, n long").groupBy("ch", "c1", "c2").agg(F.sum("n").alias("n")).toPandas()
-    vocabulary, n_train, starts = (int(x or 0) for x in answers.agg(*(F.sum(F.element_at("stats", k)) for k in (1, 2, 3))).first())
-    uniform = 1 / (vocabulary + 1)
-    weights = expectation(*(hist[k].to_numpy() for k in ("ch", "c1", "c2", "n")), n_train, starts, uniform)
+        others = found.astype(np.int64) - np.bincount(np.concatenate([one[learn], two[learn]]), minlength=len(found))
+        c1, c2 = others[one], others[two]
+        ch = context_counts(c1, row, starts - int((~np.asarray(table["held_out"])).sum()))
+        p1, p2 = c1 / max(1, n_train - int(learn.sum())), np.where(ch > 0, c2 / np.maximum(ch, 1), 0)
+        cells, at = np.unique(np.stack([bucket(ch), half_octave(p1), half_octave(p2)], 1)[learn], axis=0, return_inverse=True)
+        sums = [np.bincount(at, x, len(cells)) for x in (None, p1[learn], p2[learn])]
+        return pa.table({"bucket": cells[:, 0], "q1": cells[:, 1], "q2": cells[:, 2], "n": sums[0].astype(np.int64), "p1": sums[1], "p2": sums[2]})
+
+    cells = with_answers(blocks, answers, gather, "bucket long, q1 long, q2 long, n long, p1 double, p2 double").groupBy("bucket", "q1", "q2").agg(*(F.sum(k).alias(k) for k in ("n", "p1", "p2")))
+    found = cells.toPandas().sort_values(["bucket", "q1", "q2"])
+    weights = expectation(*(found[k].to_numpy() for k in ("bucket", "n", "p1", "p2")), uniform)
 
     def finish(table: pa.Table, found: np.ndarray) -> pa.Table:
         _, one, two, row, _ = weighted(table)
