@@ -6,15 +6,17 @@ matrix's Gram with a random test matrix, and the driver gets the singular vector
 one row for each benchmark word). In a second pass passages and items are compared by the cosine of their latent vectors.
 The latent space serves frequent terms best, so exact candidates stand beside the cosine: whatever holds LCS_SHARE of an
 item's words holds j of any (size - needed + j) of them, so surroundings with j of an item's rarest words are compared too,
-as are those with its answer. Together they leave out no pair that the check would pass.
+as are those with its answer. Together they leave out no pair that the check would pass; so MIN_TERMS and the cosine's limit,
+which keep the latent search cheap, lose nothing.
 Each pair is then checked on words: the longest common subsequence of the item with the passage's surroundings must hold
-LCS_SHARE of the item, or PARAPHRASE_SHARE and the item's answer (its last ANSWER words, in a row).
+LCS_SHARE of the item, or PARAPHRASE_SHARE and the item's answer (its last ANSWER words, in a row). has_answer tells of every
+pair whether the answer was found; items of fewer than MIN_WORDS words are found where all their words stand in a row.
 
-Items longer than 64 words are looked for in parts of equal length, any of which suffices. A benchmark is worked on in
-groups of MAX_ITEMS items, so that what the driver and the tasks hold of it is bounded.
+Items longer than 64 words are looked for in parts of equal length, any of which suffices; the answer is the item's, in
+surroundings of its length. A benchmark is worked on in groups of MAX_ITEMS items, so that what the driver and the tasks hold
+of it is bounded.
 
-Cases: null or empty texts contain nothing; items of fewer than MIN_WORDS words or without text are not looked for; items of
-equal text are found each; repeated rows give repeated rows; a null id is kept. Without items or documents there are no
+Cases: null or empty texts contain nothing; items without words are not looked for; items of equal text are found each; repeated rows give repeated rows; a null id is kept. Without items or documents there are no
 rows. Only doc_id, text and item_id, text are read.
 """
 
@@ -53,7 +55,11 @@ class Items(NamedTuple):
     term: np.ndarray  # number as a term, by word; -1 for common words
     part: list[np.ndarray]
     item_id: np.ndarray  # by part
-    masks: np.ndarray  # [part, word]: bits of the places where the part has the word; the last word stands for all others
+    item: np.ndarray  # number of the item, by part
+    first: np.ndarray  # first part of each item, and the end
+    length: np.ndarray  # words of each item
+    cell: np.ndarray  # sorted part * (words + 1) + word for all words of all parts
+    bits: np.ndarray  # the places where the part has the word, by cell
 
 
 def number(words: np.ndarray, maybe: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -68,13 +74,15 @@ def number(words: np.ndarray, maybe: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def read_items(rows: pa.Table) -> Items | None:
     t = tokens(rows["text"])
-    parts, ids = [], []
+    parts, ids, item, length = [], [], [], []
     for i, ident in enumerate(rows["item_id"].to_pylist()):
         h = t.hash[t.first[i] : t.first[i + 1]]
-        if len(h) >= MIN_WORDS:
+        if len(h):
             cut = np.array_split(h, -(-len(h) // MAX_WORDS))
             parts += cut
             ids += [ident] * len(cut)
+            item += [len(length)] * len(cut)
+            length.append(len(h))
     if not parts:
         return None
     words = np.unique(np.concatenate(parts))
@@ -88,11 +96,14 @@ def read_items(rows: pa.Table) -> Items | None:
         if rare[own].sum() < FEW:
             rare[own[np.argsort(have[own], kind="stable")[:FEW]]] = True
     term = np.append(np.where(rare, np.cumsum(rare) - 1, -1), -1)
-    masks = np.zeros((len(parts), len(words) + 1), np.uint64)
-    for k, p in enumerate(parts):
-        for j, w in enumerate(p):
-            masks[k, w] |= np.uint64(1 << j)
-    return Items(words, maybe, term, parts, np.array([x if x is not None else -1 for x in ids], np.int64), masks)
+    size = np.array([len(p) for p in parts])
+    key = np.repeat(np.arange(len(parts)), size) * (len(words) + 1) + np.concatenate(parts)
+    place = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+    cell, at = np.unique(key, return_inverse=True)
+    bits = np.zeros(len(cell), np.uint64)
+    np.bitwise_or.at(bits, at, np.uint64(1) << place.astype(np.uint64))
+    item = np.array(item)
+    return Items(words, maybe, term, parts, np.array([x if x is not None else -1 for x in ids], np.int64), item, np.searchsorted(item, np.arange(len(length) + 1)), np.array(length), cell, bits)
 
 
 class Passages(NamedTuple):
@@ -197,11 +208,17 @@ def projection(n_passages: int, df: np.ndarray, z: np.ndarray) -> np.ndarray:
     return (w[:, None] * left).astype(np.float32)
 
 
-def common_subsequence(masks: np.ndarray, part: np.ndarray, size: np.ndarray, words: np.ndarray) -> np.ndarray:
+def common_subsequence(items: Items, part: np.ndarray, size: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence of each part with its words [pair, step], by bit-parallel steps."""
     v = np.full(len(part), ~np.uint64(0))
+    masks = np.zeros(words.shape, np.uint64)
+    pair, step = np.nonzero(words < len(items.words))
+    key = part[pair] * (len(items.words) + 1) + words[pair, step]
+    place = np.minimum(np.searchsorted(items.cell, key), len(items.cell) - 1)
+    hit = items.cell[place] == key
+    masks[pair[hit], step[hit]] = items.bits[place[hit]]
     for j in range(words.shape[1]):
-        m = masks[part, words[:, j]]
+        m = masks[:, j]
         u = v & m
         v = (v + u) | (v - u)
     inside = np.where(size >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(size, 63).astype(np.uint64)) - np.uint64(1))
@@ -215,8 +232,8 @@ class Exact(NamedTuple):
     part: np.ndarray
     least: np.ndarray  # of its words, those that surroundings must hold, by part
     ends: np.ndarray  # whether an answer ends with the word
-    answer: np.ndarray  # sorted keys of the answers
-    answer_of: np.ndarray
+    answer: np.ndarray  # sorted keys of the answers of items that are long enough for one
+    answer_of: np.ndarray  # their items
 
 
 def answer_keys(words: np.ndarray) -> np.ndarray:
@@ -231,7 +248,7 @@ def exact_index(items: Items, seen: np.ndarray) -> Exact:
     rate = seen / max(1, seen.sum())
     asks, least = [], np.empty(len(items.part), np.int64)
     for k, p in enumerate(items.part):
-        needed = int(np.ceil(LCS_SHARE * len(p)))
+        needed = len(p) if items.length[items.item[k]] < MIN_WORDS else int(np.ceil(LCS_SHARE * len(p)))
         order = np.argsort(seen[p], kind="stable")
         ordered = p[order]
         new = np.zeros(len(p), bool)
@@ -248,11 +265,12 @@ def exact_index(items: Items, seen: np.ndarray) -> Exact:
     word, part = np.concatenate(asks), np.repeat(np.arange(len(asks)), [len(x) for x in asks])
     order = np.argsort(word, kind="stable")
     ends = np.zeros(len(items.words) + 1, bool)
-    tails = np.array([p[-ANSWER:] for p in items.part])
+    able = np.flatnonzero(items.length >= MIN_WORDS)
+    tails = np.array([np.concatenate(items.part[items.first[k] : items.first[k + 1]][-2:])[-ANSWER:] for k in able], np.int64).reshape(-1, ANSWER)
     ends[tails[:, -1]] = True
     keys = answer_keys(tails)
     by = np.argsort(keys, kind="stable")
-    return Exact(np.searchsorted(word[order], np.arange(len(items.words) + 2)), part[order], least, ends, keys[by], by)
+    return Exact(np.searchsorted(word[order], np.arange(len(items.words) + 2)), part[order], least, ends, keys[by], able[by])
 
 
 def ragged(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,8 +279,18 @@ def ragged(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return k, first[k] + np.arange(len(k)) - (np.cumsum(size) - size)[k]
 
 
-def exact_candidates(items: Items, exact: Exact, p: Passages) -> tuple[np.ndarray, np.ndarray]:
-    """(block, part): all whose surroundings hold enough of the part's rarest words, or its answer."""
+def answers_in(exact: Exact, p: Passages) -> tuple[np.ndarray, np.ndarray]:
+    """(item, place of its last word) of all answers."""
+    tail = np.flatnonzero(exact.ends[p.word])
+    tail = tail[tail - p.t.first[p.t.row[tail]] >= ANSWER - 1]
+    keys = answer_keys(p.word[tail[:, None] + np.arange(1 - ANSWER, 1)])
+    a, b = np.searchsorted(exact.answer, keys), np.searchsorted(exact.answer, keys, side="right")
+    k, place = ragged(a, b - a)
+    return exact.answer_of[place], tail[k]
+
+
+def exact_candidates(items: Items, exact: Exact, p: Passages, answers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(block, part): all whose surroundings hold enough of the part's rarest words, or its item's answer."""
     sizes = np.array([len(x) for x in items.part])
     asked = np.flatnonzero(exact.first[p.word + 1] > exact.first[p.word])
     k, place = ragged(exact.first[p.word[asked]], np.diff(exact.first)[p.word[asked]])
@@ -274,17 +302,16 @@ def exact_candidates(items: Items, exact: Exact, p: Passages) -> tuple[np.ndarra
     last = last[at]
     good = (part[last] == part[at]) & (p.t.row[low[last]] == p.t.row[low[at]]) & (low[last] - low[at] < 2 * (BLOCK + sizes[part[at]]))
     part, begin, end = part[at[good]], low[at[good]], low[last[good]]
-    tail = np.flatnonzero(exact.ends[p.word])
-    tail = tail[tail - p.t.first[p.t.row[tail]] >= ANSWER - 1]
-    keys = answer_keys(p.word[tail[:, None] + np.arange(1 - ANSWER, 1)])
-    a, b = np.searchsorted(exact.answer, keys), np.searchsorted(exact.answer, keys, side="right")
-    k, place = ragged(a, b - a)
-    part, begin, end = np.concatenate([part, exact.answer_of[place]]), np.concatenate([begin, tail[k] - ANSWER + 1]), np.concatenate([end, tail[k]])
+    reach = sizes[part]
+    item, last = answers
+    k, place = ragged(items.first[item], items.first[item + 1] - items.first[item])
+    part, reach = np.concatenate([part, place]), np.concatenate([reach, items.length[item[k]]])
+    begin, end = np.concatenate([begin, last[k] - ANSWER + 1]), np.concatenate([end, last[k]])
     # Blocks whose surroundings hold the words from begin to end.
-    row, size = p.t.row[begin], sizes[part]
+    row = p.t.row[begin]
     start = p.t.first[row]
-    a = np.maximum(0, -((2 * BLOCK + size + start - end - 1) // BLOCK))
-    b = np.minimum(p.first[row + 1] - p.first[row] - 1, (begin + size - start) // BLOCK)
+    a = np.maximum(0, -((2 * BLOCK + reach + start - end - 1) // BLOCK))
+    b = np.minimum(p.first[row + 1] - p.first[row] - 1, (begin + reach - start) // BLOCK)
     k, block = ragged(p.first[row] + a, np.maximum(0, b - a + 1))
     key = np.unique(block * len(sizes) + part[k])
     return key // len(sizes), key % len(sizes)
@@ -310,7 +337,8 @@ def search(items: Items, by_term: np.ndarray, latent: np.ndarray, owner: np.ndar
     some = np.flatnonzero((count >= MIN_TERMS) & (norm > 0))
     # A passage that holds a whole short part has other words too, and so a lesser cosine.
     limit = (min_cosine * np.minimum(1, np.array([len(x) for x in items.part]) / (2 * BLOCK)))[owner].astype(np.float32)
-    more = exact_candidates(items, exact, p)
+    answers = answers_in(exact, p)
+    more = exact_candidates(items, exact, p, answers)
     blocks, parts, cosines = [more[0]], [more[1]], [np.full(len(more[0]), -2, np.float32)]
     for a in range(0, len(some), 4096):
         at = some[a : a + 4096]
@@ -334,21 +362,25 @@ def search(items: Items, by_term: np.ndarray, latent: np.ndarray, owner: np.ndar
     low, end = p.t.first[row], p.t.first[row + 1]
     start = low + (block - p.first[row]) * BLOCK
     word = np.append(p.word, len(items.words))
-    lcs, answer = np.empty(len(block), np.int64), np.zeros(len(block), bool)
+    lcs, in_a_row = np.empty(len(block), np.int64), np.zeros(len(block), bool)
+    short = items.length[items.item[part]] < MIN_WORDS
     for a in range(0, len(block), 1 << 13):
         at = slice(a, a + (1 << 13))
         reach = size[at].max()
         place = start[at, None] - reach + np.arange(2 * BLOCK + 2 * reach)
         inside = (place >= np.maximum(low[at], start[at] - size[at])[:, None]) & (place < np.minimum(end[at], start[at] + 2 * BLOCK + size[at])[:, None])
         words = word[np.where(inside, place, len(word) - 1)]
-        lcs[at] = common_subsequence(items.masks, part[at], size[at], words)
-        close = np.flatnonzero((lcs[at] >= PARAPHRASE_SHARE * size[at]) & (lcs[at] < LCS_SHARE * size[at]))
-        for i in close:
-            tail = items.part[part[a + i]][-ANSWER:]
-            answer[a + i] = len(tail) <= words.shape[1] and (np.lib.stride_tricks.sliding_window_view(words[i], len(tail)) == tail).all(1).any()
-        whole = lcs[at] >= LCS_SHARE * size[at]
-        answer[at][whole] = True
-    good = answer | (lcs >= LCS_SHARE * size)
+        lcs[at] = common_subsequence(items, part[at], size[at], words)
+        for i in np.flatnonzero(short[at] & (lcs[at] == size[at])):
+            own = items.part[part[a + i]]
+            in_a_row[a + i] = (np.lib.stride_tricks.sliding_window_view(words[i], len(own)) == own).all(1).any()
+    # Whether the item's answer lies in surroundings of the item's length.
+    length = items.length[items.item[part]]
+    key = np.sort(answers[0] * (len(word) + 1) + answers[1])
+    first = np.maximum(low, start - length) + ANSWER - 1
+    found = np.append(key, np.iinfo(np.int64).max)[np.searchsorted(key, items.item[part] * (len(word) + 1) + first)]
+    answer = in_a_row | (found < items.item[part] * (len(word) + 1) + np.minimum(end, start + 2 * BLOCK + length))
+    good = np.where(short, in_a_row, (lcs >= LCS_SHARE * size) | (answer & (lcs >= PARAPHRASE_SHARE * size)))
     row, part, block, lcs, cosine, answer = row[good], part[good], block[good], lcs[good], cosine[good], answer[good]
     new = np.flatnonzero(cosine == -2)
     cosine[new] = cosine_of(vectors, norm, latent, owner, block[new], part[new])
