@@ -36,31 +36,58 @@ def lies_in(nodes: DataFrame, match: Column, into: str) -> DataFrame:
     return nodes.withColumn(into, F.coalesce(F.max(F.when(match, end())).over(before) >= F.col("node_id"), F.lit(False)))
 
 
+def enclosing(nodes: DataFrame, match: Column, held: DataFrame) -> DataFrame:
+    """(file_path, node_id, holder_id): the nearest matching node around each node of held; nodes without one give no row.
+
+    Matching nodes nest, so one is left where its end is passed: how many are open at a node is a running sum over where they
+    open and close, and the nearest one around the node is the last that opened at that depth."""
+    none = F.lit(None).cast("long")
+    opens = nodes.filter(match).select("file_path", F.col("node_id").alias("_def"), end().alias("_end"))
+    marks = opens.select("file_path", F.col("_def").alias("_at"), F.lit(1).alias("_order"), F.lit(1).alias("_step"), "_def", none.alias("_held"))
+    marks = marks.union(opens.select("file_path", F.col("_end") + 1, F.lit(-1), F.lit(-1), none, none))
+    marks = marks.union(held.select("file_path", "node_id", F.lit(0), F.lit(0), none, F.col("node_id")).distinct())
+    run = Window.partitionBy("file_path").orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    depth = Window.partitionBy("file_path", "_level").orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    level = marks.withColumn("_level", F.sum("_step").over(run)).withColumn("_near", F.last("_def", ignorenulls=True).over(depth))
+    return level.filter("_held is not null and _level > 0").select("file_path", F.col("_held").alias("node_id"), F.col("_near").alias("holder_id"))
+
+
+def _only(nodes: DataFrame, *matches: Column) -> DataFrame:
+    """The nodes that a question is about; all others are gone before its shuffle."""
+    kept = F.lit(False)
+    for m in matches:
+        kept = kept | m
+    return nodes.filter(kept)
+
+
 def has(nodes: DataFrame, ancestor_type: str, descendant_type: str | None = None, descendant_name: str | None = None) -> DataFrame:
     """Nodes of ancestor_type with a descendant of the type and name."""
-    return holds(nodes, _matches(descendant_type, descendant_name), "_has").filter(F.col("_has") & _matches(ancestor_type, None)).drop("_has")
+    above, below = _matches(ancestor_type, None), _matches(descendant_type, descendant_name)
+    return holds(_only(nodes, above, below), below, "_has").filter(F.col("_has") & above).drop("_has")
 
 
 def not_has(nodes: DataFrame, ancestor_type: str, descendant_type: str | None = None, descendant_name: str | None = None) -> DataFrame:
     """Nodes of ancestor_type without a descendant of the type and name."""
-    return holds(nodes, _matches(descendant_type, descendant_name), "_has").filter(~F.col("_has") & _matches(ancestor_type, None)).drop("_has")
+    above, below = _matches(ancestor_type, None), _matches(descendant_type, descendant_name)
+    return holds(_only(nodes, above, below), below, "_has").filter(~F.col("_has") & above).drop("_has")
 
 
 def inside(nodes: DataFrame, descendant_type: str, ancestor_type: str, ancestor_name: str | None = None, descendant_name: str | None = None) -> DataFrame:
     """Nodes of descendant_type below a node of ancestor_type."""
-    return lies_in(nodes, _matches(ancestor_type, ancestor_name), "_in").filter(F.col("_in") & _matches(descendant_type, descendant_name)).drop("_in")
+    above, below = _matches(ancestor_type, ancestor_name), _matches(descendant_type, descendant_name)
+    return lies_in(_only(nodes, above, below), above, "_in").filter(F.col("_in") & below).drop("_in")
 
 
 def precedes(nodes: DataFrame, type_: str, before_type: str, before_name: str | None = None) -> DataFrame:
     """Nodes of the type with a later sibling of before_type."""
     last = F.max(F.when(_matches(before_type, before_name), F.col("sibling_index"))).over(Window.partitionBy("file_path", "parent_id"))
-    return nodes.filter("parent_id is not null").withColumn("_last", last).filter((F.col("sibling_index") < F.col("_last")) & _matches(type_, None)).drop("_last")
+    return _only(nodes, _matches(type_, None), _matches(before_type, before_name)).filter("parent_id is not null").withColumn("_last", last).filter((F.col("sibling_index") < F.col("_last")) & _matches(type_, None)).drop("_last")
 
 
 def follows(nodes: DataFrame, type_: str, after_type: str, after_name: str | None = None) -> DataFrame:
     """Nodes of the type with an earlier sibling of after_type."""
     first = F.min(F.when(_matches(after_type, after_name), F.col("sibling_index"))).over(Window.partitionBy("file_path", "parent_id"))
-    return nodes.filter("parent_id is not null").withColumn("_first", first).filter((F.col("sibling_index") > F.col("_first")) & _matches(type_, None)).drop("_first")
+    return _only(nodes, _matches(type_, None), _matches(after_type, after_name)).filter("parent_id is not null").withColumn("_first", first).filter((F.col("sibling_index") > F.col("_first")) & _matches(type_, None)).drop("_first")
 
 
 def children(nodes: DataFrame, node_id: int) -> DataFrame:
@@ -100,12 +127,37 @@ def own_scope(nodes: DataFrame, node_id: int, nested: Column | None = None) -> D
     return lies_in(descendants(nodes, node_id), nested, "_in").filter(~F.col("_in")).drop("_in")
 
 
+def is_named() -> Column:
+    return F.coalesce(F.col("name"), F.lit("")) != ""
+
+
+def is_named_definition() -> Column:
+    return X.is_definition("semantic_type") & X.is_construct("flags") & is_named()
+
+
 def outermost(nodes: DataFrame, node_id: int, member: Column | None = None) -> DataFrame:
-    """Definitions below the node that lie in no other definition below it: the members of a class."""
-    member = X.is_definition("semantic_type") & X.is_name_definition("flags") if member is None else member
+    """Named definitions below the node that lie in no other one below it."""
+    member = is_named_definition() if member is None else member
     return lies_in(descendants(nodes, node_id), member, "_in").filter(~F.col("_in") & member).drop("_in")
 
 
+MEMBER = ("node_id", "descendant_count", "name", "type", "semantic_type", "start_line", "end_line", "depth", "parent_id", "peek", "file_path", "language")
+
+
+def class_members(nodes: DataFrame, class_id: int) -> DataFrame:
+    """The columns MEMBER of the definitions that lie directly in a class."""
+    return outermost(nodes, class_id).select(*MEMBER)
+
+
+def definition_parent(nodes: DataFrame, most: int = 10) -> DataFrame:
+    """Each named definition below the root with the nearest definition around it, over at most `most` other nodes."""
+    found = nodes.filter(is_named_definition() & (F.col("depth") >= 1))
+    pairs = enclosing(nodes, X.is_definition("semantic_type"), found)
+    about = nodes.select("file_path", F.col("node_id").alias("holder_id"), F.col("name").alias("parent_def_name"), X.semantic_type_to_string("semantic_type").alias("parent_def_kind"), F.col("depth").alias("_depth"))
+    whole = found.join(pairs, ["file_path", "node_id"]).join(about, ["file_path", "holder_id"]).filter(F.col("depth") - F.col("_depth") - 1 <= most)
+    return whole.select("file_path", "node_id", F.col("name").alias("def_name"), X.semantic_type_to_string("semantic_type").alias("kind"), "parent_def_name", "parent_def_kind", F.col("holder_id").alias("parent_def_node_id"))
+
+
 def containing_line(nodes: DataFrame, line: int) -> DataFrame:
     """Nodes whose lines hold the line, smallest first."""
     return nodes.filter((F.col("start_line") <= line) & (F.col("end_line") >= line)).orderBy(F.col("end_line") - F.col("start_line"), F.desc("depth"), "file_path", "node_id")

@@ -72,7 +72,7 @@ ORACLE_SQL: dict = {
     "tree_children": _where("a.parent_id = 0"),
     "tree_descendants": _where(_ROOT.format("a.node_id > 1 and a.node_id <= 1 + r.descendant_count")),
     "tree_ancestors": _where("a.node_id <= 100 and a.node_id + a.descendant_count >= 100"),
-    "tree_siblings": _where("a.node_id <> 1 and " + _ROOT.format("a.parent_id = r.parent_id")),
+    "tree_siblings": f"{TREE_SQL} select " + ", ".join(f"a.{c}" for c in COLUMNS.split(", ")) + " from tree a join tree r on r.file_path = a.file_path and r.parent_id = a.parent_id and r.node_id = 1 where a.node_id <> 1",
     "tree_own_scope": _where(_ROOT.format("a.node_id > 1 and a.node_id <= 1 + r.descendant_count") + " and not " + _ABOVE.format("d.type = 'orders'")),
     "tree_members": _where("a.type = 'orders' and " + _ROOT.format("a.node_id > 1 and a.node_id <= 1 + r.descendant_count")),
     "tree_depth_profile": f"""{TREE_SQL} select a.file_path, a.node_id, a.name, count(*) as total_nodes, cast(max(d.depth - a.depth) as bigint) as max_depth, round(avg(d.depth - a.depth), 2) as avg_depth
@@ -81,3 +81,9 @@ from tree a join tree d on d.file_path = a.file_path and d.node_id > a.node_id a
 (st & 252) in (4, 8) as punctuation, {_KIND_CASE} as kind from c""",
     "text_contains": "select doc_id, " + " or ".join(f"contains(text, '{s}')" for s in SECRETS) + " as found, " + " or ".join(f"contains(lower(text), '{s}')" for s in SECRETS) + " as found_i from documents",
 }
+
+# The code-shaped table's queries stand beside these.
+from sylvan.plans import code_queries  # noqa: E402
+
+QUERIES |= code_queries.QUERIES
+ORACLE_SQL |= code_queries.ORACLE_SQL

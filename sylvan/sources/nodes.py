@@ -32,6 +32,8 @@ class Language:
     #: (type, name, node) -> whether the definition is visible from outside
     exported: Callable[[Raw, str], bool] = lambda node, name: True
     parser_type: str = "hand-written"
+    #: type -> how a node without a name gets one; see sylvan.sources.registry
+    strategies: dict[str, str] = field(default_factory=dict)
 
 
 PRUNE = ("syntax", "comments", "literals", "imports", "types", "punctuation", "unnamed", "leaves", "internal")
@@ -170,7 +172,9 @@ def emit(root: Raw, code: bytes, lang: Language, path: str, e: Extraction) -> It
         starts.append(at + 1)
         at = code.find(b"\n", at + 1)
     from bisect import bisect_right
+    from time import monotonic
 
+    late = monotonic() + e.parse_timeout_ms / 1000 if e.parse_timeout_ms > 0 else float("inf")
     rows: list[dict[str, Any]] = []
     # (node, parent, depth, scope frames, name frames, is exit, own row)
     frames: list[tuple[int, int]] = []
@@ -195,6 +199,8 @@ def emit(root: Raw, code: bytes, lang: Language, path: str, e: Extraction) -> It
             flags |= X.IS_EXPORTED
         if len(rows) >= e.max_parse_nodes > 0:
             raise ValueError(f"{path}: more than {e.max_parse_nodes} nodes")
+        if len(rows) % 1024 == 1023 and monotonic() > late:
+            raise ValueError(f"{path}: not done in {e.parse_timeout_ms} ms")
         base = st & 0xFC
         slots = {"current": frames[-1][0] if frames else None}
         for key, kind in (("function", 240), ("class", 248), ("module", 252)):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from sylvan.functions import taxonomy as X
 from sylvan.sources.markup import HTML, JSON
 from sylvan.sources.nodes import Extraction, Language, emit, extraction, schema_for
 from sylvan.sources.python_source import PYTHON
@@ -20,10 +22,11 @@ LANGUAGES: dict[str, Language] = {x.name: x for x in (PYTHON, HTML, JSON)}
 BATCH_ROWS = 4096
 
 
-def language_of(name: str) -> Language:
-    found = LANGUAGES.get(name.lower()) or next((x for x in LANGUAGES.values() if name.lower() in x.aliases), None)
+def language_of(name: str, known: dict[str, Language] | None = None) -> Language:
+    known = LANGUAGES if known is None else known
+    found = known.get(name.lower()) or next((x for x in known.values() if name.lower() in x.aliases), None)
     if found is None:
-        raise ValueError(f"unsupported language {name!r}; one of {', '.join(sorted(LANGUAGES))}")
+        raise ValueError(f"unsupported language {name!r}; one of {', '.join(sorted(known))}")
     return found
 
 
@@ -43,27 +46,32 @@ def supported_languages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "language string, extensions array<string>, parser_type string, node_type_count int").orderBy("language")
 
 
-def _nodes(path: str, code: str | bytes, language: str | None, e: Extraction) -> Iterator[dict]:
+def _nodes(path: str, code: str | bytes, language: str | None, e: Extraction, known: dict[str, Language]) -> Iterator[dict]:
     try:
         if language is None:
             raise ValueError(f"{path}: no language is known for this extension")
         data = code.encode() if isinstance(code, str) else bytes(code)
         if 0 < e.max_source_bytes < len(data):
             raise ValueError(f"{path}: {len(data)} bytes, more than {e.max_source_bytes}")
-        lang = language_of(language)
+        lang = language_of(language, known)
         yield from emit(lang.parse(data), data, lang, path, e)
     except Exception:
         if not e.ignore_errors:
             raise
 
 
+def nodes_of_text(code: str, language: str, e: Extraction) -> list[dict]:
+    """The rows of one short text, on the driver: for patterns."""
+    return list(_nodes("<inline>", code, language, e, LANGUAGES))
+
+
 def parse_rows(sources: DataFrame, e: Extraction, carry: str | None = None) -> DataFrame:
     """Nodes of (file_path, content, language) rows; null contents give none. carry names a column that every node keeps."""
     fields = schema_for(e).fields
     if carry is not None:
         fields = [T.StructField(carry, sources.schema[carry].dataType), *fields]
     schema = T.StructType(fields)
-    arrow = to_arrow_schema(schema)
+    arrow, known = to_arrow_schema(schema), dict(LANGUAGES)  # tasks get the registered languages too
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -74,7 +82,7 @@ def parse_rows(sources: DataFrame, e: Extraction, carry: str | None = None) -> D
                 if code is None:
                     continue
                 extra = {} if carry is None else {carry: columns[carry][i].as_py()}
-                for row in _nodes(columns["file_path"][i].as_py(), code, columns["language"][i].as_py(), e):
+                for row in _nodes(columns["file_path"][i].as_py(), code, columns["language"][i].as_py(), e, known):
                     held.append(extra | row)
                     if len(held) >= BATCH_ROWS:
                         yield pa.RecordBatch.from_pylist(held, schema=arrow)
@@ -85,28 +93,74 @@ def parse_rows(sources: DataFrame, e: Extraction, carry: str | None = None) -> D
     return sources.mapInArrow(parsed, schema)
 
 
+def glob_pattern(glob: str) -> str:
+    """A glob as a regular expression of whole paths: ** goes through folders, * and ? stay within one."""
+    out, k = "", 0
+    while k < len(glob):
+        c = glob[k]
+        if glob.startswith("**/", k):
+            out, k = out + "(?:.*/)?", k + 3
+        elif glob.startswith("**", k):
+            out, k = out + ".*", k + 2
+        elif c == "[" and "]" in glob[k + 2 :]:
+            last = glob.index("]", k + 2)
+            inner = glob[k + 1 : last]
+            out, k = out + "[" + ("^" + inner[1:] if inner[0] in "!^" else inner).replace("\\", "\\\\") + "]", last + 1
+        elif c == "{" and "}" in glob[k:]:
+            last = glob.index("}", k)
+            out, k = out + "(?:" + "|".join(glob_pattern(x) for x in glob[k + 1 : last].split(",")) + ")", last + 1
+        else:
+            out, k = out + {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)), k + 1
+    return out
+
+
+def file_rows(spark: SparkSession, files: str | list[str], language: str | None = None) -> DataFrame:
+    """(file_path, content) of files, folders (of known extensions, or all for a given language) and globs, each file once.
+
+    Spark lists and reads the files; a file that an earlier pattern took is left out of the later ones by its path, so nothing
+    is shuffled to find repeats."""
+    patterns = [files] if isinstance(files, str) else files
+    if not isinstance(patterns, list | tuple) or not patterns:
+        raise ValueError("files must be a path or a list of at least one path")
+    if any(not isinstance(x, str) or not x for x in patterns):
+        raise ValueError("every path must be a string that is not empty")
+    parts, taken = [], []
+    for given in patterns:
+        path = given if "://" in given else os.path.abspath(given)
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        wild = re.search(r"[*?\[{]", path)
+        if wild is None:
+            folder = os.path.isdir(path) if "://" not in path else os.path.splitext(path.rstrip("/"))[1] == ""
+            if folder and language is None:
+                reader = reader.option("pathGlobFilter", "*{" + ",".join(sorted(extensions())) + "}")
+            whole, base = re.escape(path.rstrip("/")) + ("/.*" if folder else ""), path
+        else:
+            base = path[: path.rindex("/", 0, wild.start())] or "/"
+            tail = path.rsplit("/", 1)[-1]
+            if "**" not in tail:
+                reader = reader.option("pathGlobFilter", tail)
+            whole = glob_pattern(path)
+        rows = reader.load(base).select(F.regexp_replace("path", "^file:/*", "/").alias("file_path"), "content")
+        rows = rows.filter(F.col("file_path").rlike(f"^(?:{whole})$"))
+        for other in taken:
+            rows = rows.filter(~F.col("file_path").rlike(other))
+        parts.append(rows)
+        taken.append(f"^(?:{whole})$")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def read_ast(spark: SparkSession, files: str | list[str], language: str | None = None, **given) -> DataFrame:  # noqa: ANN003
     """Nodes of files, folders and globs (** looks below); one task holds one file at a time. An unknown language fails unless ignore_errors."""
     e = extraction(**given)
     if language is not None:
         language_of(language)
-    parts = []
-    for path in [files] if isinstance(files, str) else files:
-        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        if "**" in path:
-            base, _, tail = path.partition("**")
-            reader, path = reader.option("pathGlobFilter", tail.rsplit("/", 1)[-1] or "*"), base or "."
-        elif os.path.splitext(path)[1] == "" and not any(c in path for c in "*?["):
-            reader = reader.option("pathGlobFilter", "*{" + ",".join(sorted(extensions())) + "}")
-        parts.append(reader.load(path).select(F.regexp_replace("path", "^file:/*", "/").alias("file_path"), "content"))
-    if not parts:
-        raise ValueError("no files are named")
-    sources = parts[0]
-    for p in parts[1:]:
-        sources = sources.unionByName(p)
-    if len(parts) > 1:
-        sources = sources.dropDuplicates(["file_path"])
-    return parse_rows(sources.withColumn("language", F.lit(language) if language else detect_language("file_path")), e)
+    return parse_rows(file_rows(spark, files, language).withColumn("language", F.lit(language) if language else detect_language("file_path")), e)
+
+
+read_ast_flat = read_ast
 
 
 def parse_ast(spark: SparkSession, code: str, language: str, **given) -> DataFrame:  # noqa: ANN003
@@ -123,6 +177,105 @@ def parse_column(df: DataFrame, key: str, content: str, language: str, **given)
     return parse_rows(sources, extraction(**given), carry=key)
 
 
+def parse_list(code: Column | str, language: Column | str, **given) -> Column:  # noqa: ANN003
+    """The nodes of a text as a list of structs, for columns of texts and languages; a null in either gives null."""
+    e, known = extraction(**given), dict(LANGUAGES)
+    kind = T.ArrayType(schema_for(e))
+    arrow = to_arrow_schema(T.StructType([T.StructField("x", kind)])).field("x").type
+
+    @F.arrow_udf(kind)
+    def parsed(codes: pa.Array, languages: pa.Array) -> pa.Array:
+        pairs = zip(codes.to_pylist(), languages.to_pylist(), strict=True)
+        return pa.array([None if c is None or k is None else list(_nodes("<inline>", c, k, e, known)) for c, k in pairs], arrow)
+
+    return parsed(code, language)
+
+
+#: Columns of the nested schemas, by their struct.
+NESTED = {
+    "source": ("file_path", "language", "start_line", "end_line", "start_column", "end_column"),
+    "structure": ("parent_id", "depth", "sibling_index", "children_count", "descendant_count", "scope"),
+    "context": ("name", "qualified_name", "semantic_type", "flags"),
+}
+NATIVE = ("signature_type", "parameters", "modifiers", "annotations")
+
+
+def hierarchical(nodes: DataFrame) -> DataFrame:
+    """node_id, type, source, structure, context (with native) and peek; columns that nodes lack are left out of their struct."""
+    have = set(nodes.columns)
+    native = [c for c in NATIVE if c in have]
+    parts = {name: [F.col(c) for c in columns if c in have] for name, columns in NESTED.items()}
+    if native:
+        parts["context"].append(F.struct(*native).alias("native"))
+    return nodes.select("node_id", "type", *(F.struct(*c).alias(n) for n, c in parts.items() if c), *(["peek"] if "peek" in have else []))
+
+
+def read_ast_hierarchical(spark: SparkSession, files: str | list[str], language: str | None = None, **given) -> DataFrame:  # noqa: ANN003
+    return hierarchical(read_ast(spark, files, language, **{"source": "full"} | given))
+
+
+def parse_ast_hierarchical(spark: SparkSession, code: str, language: str, **given) -> DataFrame:  # noqa: ANN003
+    return hierarchical(parse_ast(spark, code, language, **{"source": "full"} | given))
+
+
+def type_map(spark: SparkSession, language: str | None = None) -> DataFrame:
+    """Node types of the front-ends with what they mean, by language, kind and type."""
+    kinds = {0xF0: "definition", 0x40: "literal", 0x50: "name", 0x70: "type", 0x90: "flow"}
+    roles = ("none", "reference", "declaration", "definition")
+    rows = []
+    for x in [language_of(language)] if language else LANGUAGES.values():
+        for name, (st, flags) in x.types.items():
+            kind = kinds.get(st & 0xF0, X.KINDS[st >> 4].lower())
+            rows.append((x.name, name, X.TYPES[st >> 2], kind, roles[flags >> 1 & 3], flags, bool(flags & X.IS_SCOPE), bool(flags & X.IS_SYNTAX_ONLY), x.strategies.get(name, "none").lower()))
+    schema = "language string, node_type string, semantic_type string, kind string, name_role string, flags int, is_scope boolean, is_syntax boolean, name_strategy string"
+    return spark.createDataFrame(rows, schema).orderBy("language", "kind", "node_type")
+
+
+def semantic_type_codes(spark: SparkSession) -> DataFrame:
+    """The 64 codes of the taxonomy with the names of their parts."""
+    code = F.col("code")
+    return spark.range(64).select((F.col("id") * 4).cast("short").alias("code")).select(
+        "code", X.get_super_kind(code).alias("super_kind_name"), X.get_kind(code).alias("kind_name"), X.semantic_type_to_string(code).alias("super_type_name"), X.semantic_type_to_string(code).alias("full_name")
+    )
+
+
+def register_sql(spark: SparkSession) -> None:
+    """The SQL table functions parse_ast(code, language), also for LATERAL joins, and read_ast(TABLE(...)) over (path, content)
+    rows, such as those of binaryFile."""
+    schema, known, e = schema_for(Extraction()), dict(LANGUAGES), Extraction()
+    names = schema.names
+    by_extension = {x: lang.name for lang in known.values() for x in lang.extensions}
+
+    class ParseAst:
+        def eval(self, code: str, language: str):  # noqa: ANN202
+            if code is not None and language is not None:
+                for row in _nodes("<inline>", code, language, e, known):
+                    yield tuple(row[n] for n in names)
+
+    class ReadAst:
+        def eval(self, row):  # noqa: ANN001, ANN202
+            path = re.sub("^file:/*", "/", row["path"])
+            language = by_extension.get(os.path.splitext(path)[1].lower())
+            if language is not None and row["content"] is not None:
+                for node in _nodes(path, bytes(row["content"]), language, e, known):
+                    yield tuple(node[n] for n in names)
+
+    spark.udtf.register("parse_ast", F.udtf(ParseAst, returnType=schema))
+    spark.udtf.register("read_ast", F.udtf(ReadAst, returnType=schema))
+
+
 def write_index(nodes: DataFrame, path: str) -> None:
     """A node table as compressed Parquet, by language and in file order, so that scans of a file or a span skip row groups."""
     nodes.repartition("language", "file_path").sortWithinPartitions("language", "file_path", "node_id").write.partitionBy("language").option("compression", "zstd").mode("overwrite").parquet(path)
+
+
+def update_index(spark: SparkSession, nodes: DataFrame, path: str) -> str:
+    """The index at path with the files of nodes replaced; it is written beside the old one, whose readers are not disturbed,
+    and the new place is returned. Old rows are kept by an anti join on the few new paths, so they are not sorted anew."""
+    import uuid
+
+    old = spark.read.parquet(path)
+    fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    kept = old.join(nodes.select("file_path").distinct(), "file_path", "left_anti").select(*nodes.columns)
+    write_index(kept.unionByName(nodes), fresh)
+    return fresh
