@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sylvan.llm.util import stored
+from sylvan.llm.util import steady, stored
 
 SHARD = 4096
 DEGREE, BUILD_BEAM, BEAM, ALPHA = 32, 64, 112, 1.25
@@ -279,7 +279,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: F.Column, k: int
                     asks, ids, scores = best_of_shard(raw, members, of, found, q, own, k)
                     yield pa.RecordBatch.from_arrays([pa.array(own[asks]), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
 
-    found = sent.join(shards, ["shard", "dim"]).select("dim", "vectors", "graph", "entry", "ids", "leader", "query_ids", "queries").mapInArrow(run, FOUND)
+    found = sent.join(shards, ["shard", "dim"]).select("dim", "vectors", "graph", "entry", "ids", "leader", "query_ids", "queries").mapInArrow(steady(run), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
     return best.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

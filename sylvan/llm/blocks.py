@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm.util import BLOCK_BYTES, shared_dir, slices
+from sylvan.llm.util import BLOCK_BYTES, shared_dir, slices, steady
 
 MANIFEST = "block long, path string"
 #: Numbers of blocks that each task has of its own.
@@ -53,7 +53,7 @@ def store_blocks(spark: SparkSession, df: DataFrame, at: int, block_bytes: int =
         if held:
             yield close()
 
-    df.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    df.mapInArrow(steady(write), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 

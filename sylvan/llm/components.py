@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.llm.util import stored
+from sylvan.llm.util import steady, stored
 
 
 def find(parent: np.ndarray, x: int) -> int:
@@ -56,7 +56,7 @@ def shrink(edges: DataFrame, most: int = 1 << 18) -> DataFrame:
         if held:
             yield out()
 
-    return edges.mapInArrow(run, "a long, b long")
+    return edges.mapInArrow(steady(run), "a long, b long")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:

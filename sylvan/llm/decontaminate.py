@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.llm.hashing import Tokens, tokens
-from sylvan.llm.util import grouped, slices
+from sylvan.llm.util import grouped, slices, steady
 
 BLOCK, RANK, MIN_COSINE = 12, 64, 0.6
 LCS_SHARE, PARAPHRASE_SHARE, ANSWER = 0.7, 0.5, 4
@@ -182,7 +182,7 @@ def gather(docs: DataFrame, items: Items, rank: int, at_once: int = 256) -> tupl
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([int(np.asarray(rows["n"]).sum())], pa.int64()), pa.array([df.tobytes()], pa.binary()), pa.array([z.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["at", "n", "df", "z", "seen"])
 
     schema = "at int, n long, df binary, z binary, seen binary"
-    whole = docs.select("text").mapInArrow(sums, schema).repartition(-(-n // at_once), "at").sortWithinPartitions("at").mapInArrow(add, schema).orderBy("at").toArrow()
+    whole = docs.select("text").mapInArrow(steady(sums), schema).repartition(-(-n // at_once), "at").sortWithinPartitions("at").mapInArrow(steady(add), schema).orderBy("at").toArrow()
     df, z, seen = np.zeros(n, np.int64), np.zeros((n, rank)), np.zeros(n_words, np.int64)
     for at, d, x, y in zip(whole["at"].to_pylist(), whole["df"], whole["z"], whole["seen"], strict=True):
         b = at // at_once * words_at_once
@@ -448,7 +448,7 @@ def found_by(rows: DataFrame, index: Index, min_cosine: float) -> DataFrame:
             best = by[new]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[best])), pa.array(ids[best]), pa.array(share[best]), pa.array(cosine[best].astype(np.float64)), pa.array(answer[best])], [x.split()[0] for x in FOUND.split(", ")])
 
-    return rows.mapInArrow(find, FOUND)
+    return rows.mapInArrow(steady(find), FOUND)
 
 
 def kept_by(docs: DataFrame, index: Index, min_cosine: float) -> DataFrame:
@@ -460,4 +460,4 @@ def kept_by(docs: DataFrame, index: Index, min_cosine: float) -> DataFrame:
             stays[search(*index, pa.compute.fill_null(batch.column(at).cast(pa.binary()), b""), min_cosine)[0]] = False
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(stays)) for c in batch.columns], names)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(steady(keep), docs.schema)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.llm.blocks import read_block, spread
-from sylvan.llm.util import grouped
+from sylvan.llm.util import grouped, steady
 
 SENT = "bucket int, block long, keys binary, vals binary"
 ANSWERS = "block long, bucket int, answers binary, stats array<bigint>"
@@ -102,7 +102,7 @@ def answered(sent: DataFrame, answer: Answer, n_buckets: int) -> DataFrame:
                 yield answer_batch(blocks_of[at : at + 256], bucket, [pack(x) for x in parts[at : at + 256]], None)
             yield answer_batch(np.array([-1]), bucket, [b""], stats)
 
-    return sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(decide, ANSWERS)
+    return sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(steady(decide), ANSWERS)
 
 
 def look_up(blocks: DataFrame, emit: Emit, answer: Answer, n_buckets: int) -> DataFrame:
@@ -114,7 +114,7 @@ def look_up(blocks: DataFrame, emit: Emit, answer: Answer, n_buckets: int) -> Da
         for block, rows in grouped(batches, "block"):
             yield from sent_by(block, *emit(rows), n_buckets)
 
-    return answered(blocks.sortWithinPartitions("block").mapInArrow(send, SENT), answer, n_buckets)
+    return answered(blocks.sortWithinPartitions("block").mapInArrow(steady(send), SENT), answer, n_buckets)
 
 
 def look_up_blocks(manifest: DataFrame, emit: Emit, answer: Answer, n_buckets: int) -> DataFrame:
@@ -126,7 +126,7 @@ def look_up_blocks(manifest: DataFrame, emit: Emit, answer: Answer, n_buckets: i
                 block, rows = read_block(pa.Table.from_batches([batch.slice(row, 1)]))
                 yield from sent_by(block, *emit(rows), n_buckets)
 
-    return answered(spread(manifest, n_buckets).mapInArrow(send, SENT), answer, n_buckets)
+    return answered(spread(manifest, n_buckets).mapInArrow(steady(send), SENT), answer, n_buckets)
 
 
 def answers_of(rows: pa.Table) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from sylvan.llm.components import components, find
 from sylvan.llm.exchange import dealt, group_sums, look_up, with_answers
 from sylvan.llm.hashing import mix, shingles, tokens
-from sylvan.llm.util import grouped, in_blocks, n_blocks, stored
+from sylvan.llm.util import grouped, in_blocks, n_blocks, steady, stored
 
 #: Text of one block; a worker holds about forty times as much while it sorts shingles.
 BLOCK_BYTES = 5 << 20
@@ -120,7 +120,7 @@ def postings(sets: DataFrame) -> DataFrame:
                 nodes = np.repeat(np.asarray(batch.column("node")), [len(v) for v in values])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(nodes)], ["shingle", "node"])
 
-    return sets.select("node", "prefix", "shingles").mapInArrow(run, "shingle long, node long")
+    return sets.select("node", "prefix", "shingles").mapInArrow(steady(run), "shingle long, node long")
 
 
 def merged(lists: list[np.ndarray], least: int, n: int) -> np.ndarray:
@@ -200,7 +200,7 @@ def links(spark: SparkSession, sets: DataFrame, num: int, den: int) -> DataFrame
             if moved.any():
                 yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[first[moved]])], ["a", "b"])
 
-    return rows.drop("apart").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
+    return rows.drop("apart").repartition("shard").sortWithinPartitions("shard").mapInArrow(steady(run), "a long, b long")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sylvan.llm.hashing import mix, powers, span_hashes
-from sylvan.llm.util import bytes_of, slices
+from sylvan.llm.util import bytes_of, slices, steady
 
 SPACE = "▁"
 BASE = np.uint64(0xD1342543DE82EF95)
@@ -342,7 +342,7 @@ def with_pieces(docs: DataFrame, path: str, name: str = "pieces", digest: bool =
                 new = [pa.array(np.diff(cuts)), pa.array([hashlib.sha256(small[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)]), pa.array(np.diff(marks)), trip]
             yield pa.RecordBatch.from_arrays([*part.columns, *new], [*names, *(f.name for f in more)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(steady(run), T.StructType([*docs.schema.fields, *more]))
 
 
 def decoded(docs: DataFrame, path: str, pieces: str = "pieces", name: str = "text") -> DataFrame:
@@ -359,7 +359,7 @@ def decoded(docs: DataFrame, path: str, pieces: str = "pieces", name: str = "tex
             text = pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(cuts.tolist(), cuts.tolist()[1:], strict=False)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, text], [*names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
+    return docs.mapInArrow(steady(run), T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def piece_digests(docs: DataFrame, path: str) -> DataFrame:

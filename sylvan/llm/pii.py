@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.llm.util import slices
+from sylvan.llm.util import slices, steady
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -255,7 +255,7 @@ def tagger(spark: SparkSession, examples: int = 2600, length: int = 64, seed: in
             p = train_tagger(*key).p
             yield pa.RecordBatch.from_arrays([pa.array(list(p)), pa.array([x.tobytes() for x in p.values()], pa.binary()), pa.array([list(x.shape) for x in p.values()], pa.list_(pa.int32()))], ["name", "data", "shape"])
 
-        rows = spark.range(0, 1, 1, 1).mapInArrow(work, "name string, data binary, shape array<int>").collect()
+        rows = spark.range(0, 1, 1, 1).mapInArrow(steady(work), "name string, data binary, shape array<int>").collect()
         TRAINED[key] = Tagger({r.name: np.frombuffer(r.data, np.float32).reshape(r["shape"]) for r in rows})
     return TRAINED[key]
 
@@ -386,7 +386,7 @@ def pii(docs: DataFrame) -> DataFrame:
             hashes = [hashlib.sha256(told(base).encode()).hexdigest() for base, _ in pairs]
             yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(hashes), pa.array([told(every) for _, every in pairs]), pa.array([len(e) - len(b) for b, e in pairs], pa.int64())], [x.split()[0] for x in PII.split(", ")])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, PII)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(steady(run), PII)
 
 
 def replaced(text: str, spans: list[Span]) -> str:
@@ -409,5 +409,5 @@ def redact(docs: DataFrame) -> DataFrame:
             new = [None if t is None else replaced(t, every) for t, (_, every) in zip(texts, find_spans(model, [x or "" for x in texts]), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if k == at else c for k, c in enumerate(part.columns)], names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(steady(run), docs.schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(out.schema["n_chars"].dataType))) if "n_chars" in names else out

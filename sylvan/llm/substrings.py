@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from sylvan.llm.blocks import read_block, store_blocks
 from sylvan.llm.exchange import SENT, answered, answers_of, bounds, group_sums, look_up_blocks, pack, sent_by, unpack
 from sylvan.llm.hashing import mix, span_hashes
-from sylvan.llm.util import bytes_of, grouped, stored
+from sylvan.llm.util import bytes_of, grouped, steady, stored
 from sylvan.llm.windows import Cells, cells
 
 LENGTH, ANCHOR = 200, 64
@@ -388,7 +388,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
             yield pa.RecordBatch.from_arrays([runs["block"].combine_chunks(), pa.array([bucket] * runs.num_rows, pa.int32()), pa.array(judge(runs, length, anchor), pa.binary())], ["block", "bucket", "reply"])
 
     runs = manifest.groupBy("block").cogroup(asked.repartition(n, "block").groupBy("block")).applyInArrow(send, RUNS)
-    replies = stored(spark, runs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, REPLIES), "replies")
+    replies = stored(spark, runs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(steady(merge), REPLIES), "replies")
 
     def finish(entry: pa.Table, back: pa.Table) -> pa.Table:
         block, rows = read_block(entry)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sylvan.llm.hashing import ALNUM, span_hashes, tokens
-from sylvan.llm.util import slices
+from sylvan.llm.util import slices, steady
 
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 8_000
 #: Bytes of the word beginnings that are features beside whole words.
@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFram
         for part in slices(batches, at):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(model, part.column(at).cast(pa.binary())))], [*names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(steady(run), schema)
 
 
 def held_out(ident: F.Column, mod: int, rest: int) -> F.Column:

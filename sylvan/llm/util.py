@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,38 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+#: Bytes that Spark sends a Python worker at once; without a bound it counts rows alone, whatever their size.
+BATCH_BYTES = "4m"
+
 #: Text bytes that one block of documents holds on average; a task works on one block at a time.
 BLOCK_BYTES = 8 << 20
 
 
+def steady(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, after which the worker gives freed memory back to the machine: workers outlive their tasks, and what the
+    allocators of those that wait keep would add up beside the busy ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import ctypes
+
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "67108864b"):  # unset, or Spark's default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -92,7 +120,7 @@ def bytes_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that column number `at` of each holds about `most` bytes; one row may hold more."""
     for batch in batches:
         column = batch.column(at)

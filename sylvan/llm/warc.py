@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.llm.util import shared_dir
+from sylvan.llm.util import shared_dir, steady
 
 CHUNK = 1 << 20
 #: An archive is closed once it has this many compressed bytes.
@@ -152,7 +152,7 @@ def write_archives(df: DataFrame, folder: str, id_col: str, url_col: str, payloa
         if out is not None:
             yield close()
 
-    return df.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(payload_col).cast("binary"), F.col(refers_col).cast("long")).mapInArrow(write, MANIFEST)
+    return df.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(payload_col).cast("binary"), F.col(refers_col).cast("long")).mapInArrow(steady(write), MANIFEST)
 
 
 def read_archives(manifest: DataFrame, errors: str = "raise", payloads: bool = True) -> DataFrame:
@@ -184,7 +184,7 @@ def read_archives(manifest: DataFrame, errors: str = "raise", payloads: bool = T
                 if rows:
                     yield batch_of(rows)
 
-    return manifest.select("path").coalesce(1).repartition(n).mapInArrow(read, RECORDS)
+    return manifest.select("path").coalesce(1).repartition(n).mapInArrow(steady(read), RECORDS)
 
 
 def with_revisits(df: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
