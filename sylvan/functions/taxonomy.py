@@ -45,6 +45,7 @@ KIND_ALIASES = {
     96: "PATTERN PAT", 176: "BLOCK", 128: "STATEMENT STMT", 0: "SYNTAX SYN", 224: "TRANSFORM XFORM", 32: "COMMENT",
 }
 SUPER_KIND_ALIASES = {192: "COMPUTATION"}
+# The types that are worth a search.
 SEARCHABLE = [240, 244, 248, 252, 208, 212, 80, 84, 48, 52, 64, 68, 144, 148, 160, 32]
 
 CODES = {name: 4 * i for i, name in enumerate(TYPES)}
@@ -96,8 +97,13 @@ def semantic_type_base(st: Column | str) -> Column:
     return bits(st, 0xFC).cast("short")
 
 
-def is_semantic_type(st: Column | str, pattern: str) -> Column:
-    """pattern: a full name or an alias, case-sensitive; an unknown one is never true."""
+def is_semantic_type(st: Column | str, pattern: str | Column) -> Column:
+    """pattern: a full name or an alias, case-sensitive; an unknown one is never true. A column of patterns is looked up in a
+    literal map; a null one gives null."""
+    if isinstance(pattern, Column):
+        test = F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.struct(F.lit(m).alias("mask"), F.lit(v).alias("code"))) for k, (m, v) in PATTERNS.items())), pattern)
+        whole = (F.col(st) if isinstance(st, str) else st).cast("int")
+        return F.when(pattern.isNotNull(), F.coalesce(whole.bitwiseAND(test["mask"]) == test["code"], F.lit(False)))
     if pattern not in PATTERNS:
         return F.lit(False)
     mask, value = PATTERNS[pattern]
@@ -214,10 +220,11 @@ def string_contains_any_i(s: Column | str, patterns: Column | list[str]) -> Colu
     """The same without regard to ASCII case."""
     low = lambda x: F.translate(x, ASCII_UPPER, ASCII_LOWER)
     s = F.col(s) if isinstance(s, str) else s
-    if isinstance(patterns, list):
+    if isinstance(patterns, list):  # the lowered text is bound once, not once for each pattern
         table = str.maketrans(ASCII_UPPER, ASCII_LOWER)
-        return string_contains_any(low(s), [p if p is None else p.translate(table) for p in patterns])
-    return string_contains_any(low(s), F.transform(patterns, low))
+        known = [p.translate(table) for p in patterns if p is not None]
+        return F.when(s.isNotNull(), F.element_at(F.transform(F.array(low(s)), lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(p)) for p in known), F.lit(False))), 1))
+    return F.element_at(F.transform(F.array(low(s)), lambda t: string_contains_any(t, F.transform(patterns, low))), 1)
 
 
 ast_peek_contains_any = string_contains_any
@@ -244,38 +251,49 @@ def wildcard_capture_name(name: Column | str) -> Column:
     return F.when(is_pattern_wildcard(name) & (F.length(name) > 4), name.substr(F.lit(3), F.length(name) - 4))
 
 
-HTML_WILDCARD = r"%__<([A-Z_][A-Z0-9_]*|_)?(\*\*|[*+?~])?((?:\s+[a-z_]+=[^\s>]+)*)\s*>__%"
+# The forms of wildcards with signs, %__NAME<sign>__% and %__<NAME sign attribute=value ...>__%.
+CLEANED = (
+    (r"%__([A-Z][A-Z0-9_]*)<[^>]+>__%", "__$1__"),
+    (r"%__<([A-Z_][A-Z0-9_]*)[^>]*>__%", "__$1__"),
+    (r"%__<[^>]+>__%", "__"),
+)
+VARIADIC = (r"%__[A-Z]*<[^>]*[*+?~][^>]*>__%",)
+RECURSIVE = (r"%__[A-Z]*<\*\*>__%", r"%__<[A-Z_]*\*\*[^*>]*>__%")
+#: Attributes of an extended wildcard: field, expression, whether it is a number.
+WILDCARD_ATTRIBUTES = (
+    ("type_constraint", r"[ ]type=([A-Za-z_][A-Za-z0-9_]*)", False), ("not_type_constraint", r"not-type=([A-Za-z_][A-Za-z0-9_]*)", False), ("name_constraint", r"[ ]name=([A-Za-z_][A-Za-z0-9_]*)", False),
+    ("name_pattern", r"name-pattern=([^ >]+)", False), ("semantic_constraint", r"semantic=([A-Z_]+)", False), ("min_descendants", r"min-descendants=([0-9]+)", True), ("max_descendants", r"max-descendants=([0-9]+)", True),
+    ("min_children", r"min-children=([0-9]+)", True), ("max_children", r"max-children=([0-9]+)", True),
+)
+
+
+def _text(x: Column | str) -> Column:
+    return F.col(x) if isinstance(x, str) else x
 
 
 def clean_pattern(pattern: Column | str) -> Column:
-    """Extended wildcards as identifiers: %__<X* type=t>__% becomes __X__, a nameless one __."""
-    p = F.col(pattern) if isinstance(pattern, str) else pattern
-    return F.regexp_replace(F.regexp_replace(p, r"%__<([A-Z][A-Z0-9_]*)[^>]*>__%", "__$1__"), r"%__<[^>]*>__%", "__")
+    """Wildcards with signs as identifiers: %__<X* type=t>__% becomes __X__, a nameless one __."""
+    p = _text(pattern)
+    for form, plain in CLEANED:
+        p = F.regexp_replace(p, form, plain)
+    return p
 
 
 def parse_html_wildcard(text: Column | str) -> Column:
-    """Name, quantifier and attributes of an extended wildcard."""
-    t = F.col(text) if isinstance(text, str) else text
-    part = lambda r, k=1: F.nullif(F.regexp_extract(t, r, k), F.lit(""))
-    name = part(r"%__<([A-Z][A-Z0-9_]*)")
-    sign = part(r"%__<(?:[A-Z][A-Z0-9_]*)?(\*\*|[*+?~])")
-    attr = lambda a: part(rf"\s{a}=([^\s>]+)")
-    number = lambda a: attr(a).try_cast("int")
-    return F.struct(
-        name.alias("name"), (sign == "*").alias("is_star"), (sign == "+").alias("is_plus"), (sign == "?").alias("is_optional"), (sign == "~").alias("is_negated"), (sign == "**").alias("is_recursive"),
-        sign.isin("*", "+", "?", "~").alias("is_variadic"), attr("type").alias("type"), attr("not_type").alias("not_type"), attr("name").alias("name_filter"), attr("semantic").alias("semantic"),
-        number("min").alias("min"), number("max").alias("max"), number("depth").alias("depth"), t.alias("source"),
-    )
+    """The 15 fields of an extended wildcard: name (_ for a nameless one), signs and attributes."""
+    t = _text(text)
+    part = lambda r: F.nullif(F.regexp_extract(t, r, 1), F.lit(""))
+    signs = {"variadic_star": t.contains("*") & ~t.contains("**"), "variadic_plus": t.contains("+"), "negate": t.contains("~"), "optional": t.contains("?"), "recursive": t.contains("**")}
+    attributes = ((part(r).try_cast("int") if number else part(r)).alias(k) for k, r, number in WILDCARD_ATTRIBUTES)
+    return F.struct(F.coalesce(part("<([A-Z_][A-Z0-9_]*)"), F.lit("_")).alias("name"), *(v.alias(k) for k, v in signs.items()), *attributes)
 
 
 def pattern_has_variadic(pattern: Column | str) -> Column:
-    p = F.col(pattern) if isinstance(pattern, str) else pattern
-    return p.rlike(r"%__<[A-Z0-9_]*(\*(?!\*)|[+?~])")
+    return reduce(lambda a, b: a | b, (_text(pattern).rlike(r) for r in VARIADIC))
 
 
 def pattern_has_recursive(pattern: Column | str) -> Column:
-    p = F.col(pattern) if isinstance(pattern, str) else pattern
-    return p.rlike(r"%__<[A-Z0-9_]*\*\*")
+    return reduce(lambda a, b: a | b, (_text(pattern).rlike(r) for r in RECURSIVE))
 
 
 def ast_capture(captures: Column | str, name: str) -> Column:

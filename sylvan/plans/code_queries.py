@@ -237,18 +237,17 @@ def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PATTERNS_SQL = """select n_nationkey as k, concat(case when n_nationkey % 4 = 3 then '' else '__' end, case when n_nationkey % 5 = 4 then lower(n_name) when n_nationkey % 7 = 6 then '' else replace(upper(n_name), ' ', '_') end, case when n_nationkey % 4 = 3 or n_nationkey % 7 = 6 then '' else '__' end) as word,
-concat('%__<', case when n_nationkey % 6 = 5 then '' else replace(upper(n_name), ' ', '_') end, case n_nationkey % 6 when 0 then '*' when 1 then '+' when 2 then '?' when 3 then '**' when 4 then '~' else '' end, ' type=identifier min=', cast(n_nationkey as string), '>__%(x)') as wild from {nation}"""
+concat('%__<', case when n_nationkey % 6 = 5 then '' else replace(upper(n_name), ' ', '_') end, case n_nationkey % 6 when 0 then '*' when 1 then '+' when 2 then '?' when 3 then '**' when 4 then '~' else '' end, ' type=identifier min-children=', cast(n_nationkey as string), '>__%(x)') as wild from {nation}"""
 QUERIES["pattern_scalars"] = lambda spark, sf_dir: _patterns(spark, sf_dir).withColumn("w", X.parse_html_wildcard("wild")).select(
     "k", X.is_pattern_wildcard("word").alias("is_wildcard"), X.wildcard_capture_name("word").alias("capture"), X.clean_pattern("wild").alias("cleaned"), X.pattern_has_variadic("wild").alias("variadic"), X.pattern_has_recursive("wild").alias("recursive"),
-    "w.name", "w.is_star", "w.is_plus", "w.is_optional", "w.is_negated", "w.is_recursive", "w.is_variadic", "w.type", "w.min",
+    "w.name", "w.variadic_star", "w.variadic_plus", "w.optional", "w.negate", F.col("w.recursive").alias("deep"), "w.type_constraint", "w.min_children", "w.max_children",
 )
-ORACLE_SQL["pattern_scalars"] = "with p as (" + PATTERNS_SQL.replace("{nation}", "nation").replace("as string)", "as varchar)") + """), s as (
-  select *, regexp_extract(wild, '%__<(?:[A-Z][A-Z0-9_]*)?(\\*\\*|[*+?~])', 1) as sign from p
-)
+ORACLE_SQL["pattern_scalars"] = "with p as (" + PATTERNS_SQL.replace("{nation}", "nation").replace("as string)", "as varchar)") + """)
 select k, (word = '__' or regexp_full_match(word, '__[A-Z][A-Z0-9_]*__')) as is_wildcard, case when regexp_full_match(word, '__[A-Z][A-Z0-9_]*__') then word[3:-3] end as capture,
-regexp_replace(regexp_replace(wild, '%__<([A-Z][A-Z0-9_]*)[^>]*>__%', '__\\1__', 'g'), '%__<[^>]*>__%', '__', 'g') as cleaned, sign in ('*', '+', '?', '~') as variadic, sign = '**' as recursive,
-nullif(regexp_extract(wild, '%__<([A-Z][A-Z0-9_]*)', 1), '') as name, case when sign <> '' then sign = '*' end as is_star, case when sign <> '' then sign = '+' end as is_plus, case when sign <> '' then sign = '?' end as is_optional, case when sign <> '' then sign = '~' end as is_negated,
-case when sign <> '' then sign = '**' end as is_recursive, case when sign <> '' then sign in ('*', '+', '?', '~') end as is_variadic, 'identifier' as type, cast(k as int) as min from s"""
+regexp_replace(regexp_replace(wild, '%__<([A-Z_][A-Z0-9_]*)[^>]*>__%', '__\\1__', 'g'), '%__<[^>]+>__%', '__', 'g') as cleaned, k % 6 <> 5 as variadic, k % 6 = 3 as recursive, coalesce(nullif(regexp_extract(wild, '<([A-Z_][A-Z0-9_]*)', 1), ''), '_') as name,
+k % 6 = 0 as variadic_star, k % 6 = 1 as variadic_plus, k % 6 = 2 as optional, k % 6 = 4 as negate, k % 6 = 3 as deep, 'identifier' as type_constraint, cast(k as int) as min_children, cast(null as int) as max_children from p"""
+QUERIES["taxonomy_pattern_column"] = lambda spark, sf_dir: spark.range(256).crossJoin(spark.createDataFrame([(a,) for a in ("FN", "ACCESS", "VALUE", "FLOW_LOOP", "nothing", None)], "a string")).select(F.col("id").cast("int").alias("st"), F.coalesce("a", F.lit("null")).alias("a"), X.is_semantic_type(F.col("id"), F.col("a")).alias("is"))
+ORACLE_SQL["taxonomy_pattern_column"] = f"with s as ({_ST}) select st, coalesce(a, 'null') as a, case a when 'FN' then (st & 252) = 240 when 'ACCESS' then (st & 240) = 192 when 'VALUE' then (st & 240) = 64 when 'FLOW_LOOP' then (st & 252) = 148 when 'nothing' then false end as is from s, (values ('FN'), ('ACCESS'), ('VALUE'), ('FLOW_LOOP'), ('nothing'), (null)) t(a)"
 _LISTS = "select doc_id, text, array('license', cast(null as string), source, lang) as words from {documents}"
 QUERIES["text_contains_column"] = lambda spark, sf_dir: spark.sql(_LISTS, documents=spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", X.string_contains_any("text", F.col("words")).alias("found"), X.string_contains_any_i("text", F.col("words")).alias("found_i"), X.ast_peek_contains_any("text", F.col("words")).alias("peek"))
 ORACLE_SQL["text_contains_column"] = """select doc_id, contains(text, 'license') or coalesce(contains(text, source), false) or coalesce(contains(text, lang), false) as found,
