@@ -6,6 +6,7 @@ literal map, so filters stay inside generated code and can be pushed into scans.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from itertools import chain
 
@@ -220,10 +221,9 @@ def string_contains_any_i(s: Column | str, patterns: Column | list[str]) -> Colu
     """The same without regard to ASCII case."""
     low = lambda x: F.translate(x, ASCII_UPPER, ASCII_LOWER)
     s = F.col(s) if isinstance(s, str) else s
-    if isinstance(patterns, list):  # the lowered text is bound once, not once for each pattern
-        table = str.maketrans(ASCII_UPPER, ASCII_LOWER)
-        known = [p.translate(table) for p in patterns if p is not None]
-        return F.when(s.isNotNull(), F.element_at(F.transform(F.array(low(s)), lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(p)) for p in known), F.lit(False))), 1))
+    if isinstance(patterns, list):  # one pass over the text; without (?u) Java disregards the case of ASCII letters only
+        known = [re.escape(p) for p in patterns if p is not None]
+        return F.when(s.isNotNull(), s.rlike(f"(?i){'|'.join(known)}") if known else F.lit(False))
     return F.element_at(F.transform(F.array(low(s)), lambda t: string_contains_any(t, F.transform(patterns, low))), 1)
 
 

@@ -16,7 +16,7 @@ _TEXT = """
 with line as (
   select l_orderkey as ok, l_partkey as part, l_suppkey as supp, l_returnflag as mark, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int) as ln from {lineitem}
 ), o as (
-  select o_orderkey as ok, o_custkey as ck, o_orderkey % 31 as num, o_orderstatus = 'F' as is_class, case when substring(o_orderpriority, 1, 1) = '1' then 16 else 0 end as shown from {orders}
+  select o_orderkey as ok, o_custkey as ck, o_orderkey % 37 as num, o_orderstatus = 'F' as is_class, case when substring(o_orderpriority, 1, 1) = '1' then 16 else 0 end as shown from {orders}
 ), item as (
   select o.ck, o.ok, line.ln, line.mark, o.is_class, line.part, line.supp, (o.is_class or line.ln = 4) as is_function from line join o on line.ok = o.ok
 ), part as (

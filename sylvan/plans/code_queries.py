@@ -244,7 +244,7 @@ QUERIES["pattern_scalars"] = lambda spark, sf_dir: _patterns(spark, sf_dir).with
 )
 ORACLE_SQL["pattern_scalars"] = "with p as (" + PATTERNS_SQL.replace("{nation}", "nation").replace("as string)", "as varchar)") + """)
 select k, (word = '__' or regexp_full_match(word, '__[A-Z][A-Z0-9_]*__')) as is_wildcard, case when regexp_full_match(word, '__[A-Z][A-Z0-9_]*__') then word[3:-3] end as capture,
-regexp_replace(regexp_replace(wild, '%__<([A-Z_][A-Z0-9_]*)[^>]*>__%', '__\\1__', 'g'), '%__<[^>]+>__%', '__', 'g') as cleaned, k % 6 <> 5 as variadic, k % 6 = 3 as recursive, coalesce(nullif(regexp_extract(wild, '<([A-Z_][A-Z0-9_]*)', 1), ''), '_') as name,
+regexp_replace(regexp_replace(wild, '%__<([A-Z_][A-Z0-9_]*)[^>]*>__%', '__\\1__', 'g'), '%__<[^>]+>__%', '__', 'g') as cleaned, k % 6 <> 5 as variadic, regexp_matches(wild, '%__<[A-Z_]*\\*\\*') as recursive, coalesce(nullif(regexp_extract(wild, '<([A-Z_][A-Z0-9_]*)', 1), ''), '_') as name,
 k % 6 = 0 as variadic_star, k % 6 = 1 as variadic_plus, k % 6 = 2 as optional, k % 6 = 4 as negate, k % 6 = 3 as deep, 'identifier' as type_constraint, cast(k as int) as min_children, cast(null as int) as max_children from p"""
 QUERIES["taxonomy_pattern_column"] = lambda spark, sf_dir: spark.range(256).crossJoin(spark.createDataFrame([(a,) for a in ("FN", "ACCESS", "VALUE", "FLOW_LOOP", "nothing", None)], "a string")).select(F.col("id").cast("int").alias("st"), F.coalesce("a", F.lit("null")).alias("a"), X.is_semantic_type(F.col("id"), F.col("a")).alias("is"))
 ORACLE_SQL["taxonomy_pattern_column"] = f"with s as ({_ST}) select st, coalesce(a, 'null') as a, case a when 'FN' then (st & 252) = 240 when 'ACCESS' then (st & 240) = 192 when 'VALUE' then (st & 240) = 64 when 'FLOW_LOOP' then (st & 252) = 148 when 'nothing' then false end as is from s, (values ('FN'), ('ACCESS'), ('VALUE'), ('FLOW_LOOP'), ('nothing'), (null)) t(a)"

@@ -17,7 +17,8 @@ SECRETS = ["password", "secret", "@", "license"]
 
 def _tree(apply):  # noqa: ANN001, ANN202
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return apply(relational_tree(spark, sf_dir))
+        # Built by windows and joins once; other queries find it kept.
+        return apply(relational_tree(spark, sf_dir).persist())
 
     return query
 
@@ -87,3 +88,7 @@ from sylvan.plans import code_queries  # noqa: E402
 
 QUERIES |= code_queries.QUERIES
 ORACLE_SQL |= code_queries.ORACLE_SQL
+from sylvan.plans import library_queries  # noqa: E402
+
+QUERIES |= library_queries.QUERIES
+ORACLE_SQL |= library_queries.ORACLE_SQL
