@@ -11,13 +11,14 @@ from sylvan.llm.pieces import with_pieces
 from sylvan.llm.pii import redact
 from sylvan.llm.queries import VOCABULARY
 from sylvan.llm.toxicity import held_out, learn, score
-from sylvan.llm.util import stored, table
+from sylvan.llm.util import free_name, stored, table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.7 for toxicity; the model learns from labels that are not held out."""
     model = learn(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1) & F.col("doc_id").isNotNull())
-    return score(docs, model, "_toxicity").filter("_toxicity < 0.7").select(*docs.columns)
+    name = free_name(docs, "_toxicity")
+    return score(docs, model, name).filter(F.col(name) < 0.7).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Personal data in texts: patterns, and a character-level bidirectional LSTM with CRF transitions.
 
-The tagger is trained in numpy from labelled spans (made by rule, with a fixed seed). A span always holds a digit or an
-at sign, so only the surroundings of these are read: other characters are outside by definition. Windows of WINDOW
-characters overlap by half; their scores are averaged by distance from the window's edge, and one Viterbi search over the
-whole stretch, with the learned transitions, gives the spans. Spans of the tagger are kept if they pass the check of their
+The tagger is trained in numpy from labelled spans (made by rule, with a fixed seed). A span that passes the check of its kind
+holds a digit or an at sign (or one written out), so stretches of text without any within WINDOW / 2 characters cannot hold
+one and are not read. Windows of WINDOW characters overlap by half; their scores are averaged by distance from the window's
+edge, and one Viterbi search over the whole stretch, with the learned transitions, gives the spans. Spans of the tagger are kept if they pass the check of their
 kind and do not overlap a span of the patterns, which always stay.
 
 Kinds are email, ip, card and phone; positions are code points, ends exclusive. The counts n_* and base_sha256 are of the
@@ -307,42 +307,65 @@ def decode(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return tags
 
 
+#: Stretches are read in sections of so many characters, with WINDOW before and two behind, and a span belongs to the section
+#: that it starts in; so memory is bounded and the windows of one long text are worked on together.
+SECTION = 1 << 14
+
+
+def sections(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, end) to read and (first, last) place at which its spans may start, for the whole of all stretches."""
+    out = []
+    for a, b in stretches(text):
+        out += [(max(a, x - WINDOW), min(b, x + SECTION + 2 * WINDOW), x, min(b, x + SECTION)) for x in range(a, b, SECTION)]
+    return out
+
+
+def window_scores(model: Tagger, padded: np.ndarray, at_once: int) -> np.ndarray:
+    """Scores [time, batch, TAGS] of sequences [batch, time], from windows that overlap by half, weighted by the distance from
+    their edges. All windows of all sequences are one batch."""
+    half, weight = WINDOW // 2, (1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)[:, None, None]
+    batch, n = len(padded), padded.shape[1] // half - 1
+    windows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW, 1)[:, ::half].reshape(batch * n, WINDOW)
+    total = np.zeros((batch, n + 1, half, TAGS), np.float32)
+    mass = np.zeros((n + 1, half, 1), np.float32)
+    mass[:n] += weight[:half, 0]
+    mass[1:] += weight[half:, 0]
+    for a in range(0, len(windows), at_once):
+        e = (emissions(model.p, windows[a : a + at_once])[0] * weight).transpose(1, 0, 2)
+        row, k = np.divmod(np.arange(a, a + len(e)), n)
+        total[row, k] += e[:, :half]
+        total[row, k + 1] += e[:, half:]
+    return (total / mass).reshape(batch, (n + 1) * half, TAGS).transpose(1, 0, 2)
+
+
 def tagged_spans(model: Tagger, texts: list[str], at_once: int = 512) -> list[list[Span]]:
     """The tagger's spans of each text, unchecked."""
     found: list[list[Span]] = [[] for _ in texts]
-    todo = [(b - a, row, a) for row, text in enumerate(texts) for a, b in stretches(text)]
+    todo = [(b - a, row, a, first, last) for row, text in enumerate(texts) for a, b, first, last in sections(text)]
     todo.sort()
-    half, weight = WINDOW // 2, (1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)[:, None]
-    codes = {row: classes(texts[row]) for _, row, _ in todo}
+    half = WINDOW // 2
+    codes = {row: classes(texts[row]) for row in {x[1] for x in todo}}
     low = 0
     while low < len(todo):
-        # Stretches of similar length together, as many as fit.
+        # Sections of similar length together, as many as fit.
         high = low + 1
         while high < len(todo) and (high - low + 1) * (-(-todo[high][0] // half) + 1) <= at_once:
             high += 1
         group = todo[low:high]
         low = high
-        longest = group[-1][0]
-        n = max(1, -(-(longest - half) // half))
+        n = max(1, -(-(group[-1][0] - half) // half))
         padded = np.full((len(group), (n + 1) * half), CLASSES - 1, np.int64)
-        for i, (size, row, a) in enumerate(group):
+        for i, (size, row, a, _, _) in enumerate(group):
             padded[i, :size] = codes[row][a : a + size]
-        total = np.zeros((padded.shape[1], len(group), TAGS), np.float32)
-        mass = np.zeros((padded.shape[1], 1, 1), np.float32)
-        for k in range(n):
-            at = slice(k * half, k * half + WINDOW)
-            total[at] += emissions(model.p, padded[:, at])[0] * weight[:, None]
-            mass[at] += weight[:, None]
-        tags = decode(total / mass, model.p["trans"])
-        for (size, row, a), own in zip(group, tags, strict=True):
+        tags = decode(window_scores(model, padded, at_once), model.p["trans"])
+        for (size, row, a, first, last), own in zip(group, tags, strict=True):
             own = own[:size]
             on = np.flatnonzero(own)
             if not len(on):
                 continue
             kind = (own - 1) // 2
             new = (own % 2 == 1) | (np.diff(kind, prepend=-1) != 0)
-            starts = [t for t in on if new[t]]
-            for s in starts:
+            for s in (t for t in on if new[t] and first <= a + t < last):
                 e = s + 1
                 while e < size and own[e] == 2 + 2 * kind[s]:
                     e += 1

@@ -1,11 +1,12 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Positives are rows that are labelled toxic, the unlabelled set is drawn from all rows that may be learnt from, whatever
-their label. A linear model on the presence of words and word beginnings is fitted in numpy to the risk
+Positives are rows that are labelled toxic; the unlabelled set is drawn from the rows of the labels table that may be
+learnt from, and their labels are not looked at. A linear model on the presence of words and word beginnings is fitted in numpy to the risk
 ``p * E_P[loss(g)] + max(0, E_U[loss(-g)] - p * E_P[loss(-g)])`` with class prior p; where the second part turns negative,
 the step goes up its gradient instead.
 
-Bounds: the classifier is fitted on at most MAX_POSITIVE and MAX_UNLABELLED rows, those of the smallest hashed id.
+Bounds: the classifier is fitted on a sample of the labelled rows, at most MAX_POSITIVE and MAX_UNLABELLED, those of the
+smallest hashed id; all rows are scored.
 
 Cases: a null or empty text gets the score of no evidence; several labels of one document count as toxic if one is; a null
 id is scored, not learnt from; repeated rows are scored each; without a single positive all scores are 0. Only the named
@@ -139,7 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: F.Column, max_positive:
     texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).filter(may_learn)
     by = F.xxhash64("doc_id")
     parts = []
-    for ids, most in ((known.filter("toxic = 1").select("doc_id"), max_positive), (texts.select("doc_id").distinct(), max_unlabelled)):
+    for ids, most in ((known.filter("toxic = 1").select("doc_id"), max_positive), (known.select("doc_id"), max_unlabelled)):
         chosen = ids.orderBy(by, "doc_id").limit(most)  # at most `most` rows, so small enough to broadcast
         rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(by, "doc_id", "text").limit(most).select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).toArrow()
         parts.append(rows["text"].combine_chunks())
@@ -149,7 +150,8 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: F.Column, max_positive:
 
 
 def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
-    """Adds a column of that name to docs, which keep their columns."""
+    """Adds a column of that name to docs, which keep their columns; one of that name is replaced."""
+    docs = docs.drop(name)
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
     names = docs.columns

@@ -36,13 +36,14 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def keys_of(url: F.Column) -> F.Column:
-    """The entries that can match a URL: its host, each domain above it, each prefix of its path."""
+    """The entries that can match a URL: its host, each domain above it, and each prefix of host and path that ends where a
+    part of the path does. Paths are taken as they are: "//" holds an empty part."""
     host = F.lower(F.regexp_extract(url, HOST, 1))
     labels = F.split(host, r"\.")
-    parts = F.filter(F.split(F.lower(F.regexp_extract(url, PATH, 1)), "/"), lambda x: x != "")
-    n, m = F.size(labels), F.size(parts)
+    parts = F.split(F.lower(F.regexp_extract(url, PATH, 1)), "/")  # of "/a/b" an empty part, a and b
+    n = F.size(labels)
     domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, n - i + 1), ".")))
-    paths = F.when(m > 0, F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda i: F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
+    paths = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("prefix:"), host, F.array_join(F.slice(parts, F.lit(1), i), "/")))
     return F.when(host != "", F.concat(F.array(F.concat(F.lit("host:"), host)), domains, paths))
 
 

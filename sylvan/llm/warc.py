@@ -113,6 +113,15 @@ def parse(member: bytes) -> dict[str, Any]:
     }
 
 
+def records(source: BinaryIO) -> Iterator[dict[str, Any]]:
+    """The records of an archive; where it cannot be read on, its last record has only an error."""
+    try:
+        for member in members(source):
+            yield parse(member)
+    except (WarcError, zlib.error) as broken:
+        yield dict.fromkeys(x.split()[0] for x in RECORDS.split(", ")) | {"digest_ok": False, "error": str(broken)}
+
+
 def opened(path: str, write: bool = False):  # noqa: ANN201
     from pyarrow import fs
 
@@ -156,7 +165,8 @@ def write_archives(df: DataFrame, folder: str, id_col: str, url_col: str, payloa
 
 
 def read_archives(manifest: DataFrame, errors: str = "raise", payloads: bool = True) -> DataFrame:
-    """A row for each record of the archives in manifest.path. errors: raise on a broken record, or keep it with its error."""
+    """A row for each record of the archives in manifest.path. errors: raise on a broken record, or keep it with its error; an
+    archive that is cut or no archive gives the records before the break and one row with the error."""
     n = max(1, manifest.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +180,7 @@ def read_archives(manifest: DataFrame, errors: str = "raise", payloads: bool = T
             for path in batch.column("path").to_pylist():
                 rows, held = [], 0
                 with opened(path) as source:
-                    for member in members(source):
-                        r = parse(member)
+                    for r in records(source):
                         if r["error"] and errors == "raise":
                             raise WarcError(f"{path}: {r['error']}")
                         if not payloads:
