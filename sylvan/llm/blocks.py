@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm.util import BLOCK_BYTES, shared_dir, slices, steady
+from sylvan.llm.util import shared_dir, slices, steady
 
 MANIFEST = "block long, path string"
 #: Numbers of blocks that each task has of its own.
@@ -23,7 +23,7 @@ def file_system(path: str):  # noqa: ANN201
     return fs.FileSystem.from_uri(path)
 
 
-def store_blocks(spark: SparkSession, df: DataFrame, at: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def store_blocks(spark: SparkSession, df: DataFrame, at: int, block_bytes: int) -> DataFrame:
     """Writes df in blocks of about block_bytes of its column number `at`, without a shuffle; returns their manifest.
 
     Written under a name of the attempt and renamed, so a task that runs twice leaves one file."""

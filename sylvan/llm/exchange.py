@@ -12,10 +12,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sylvan.llm.blocks import read_block, spread
-from sylvan.llm.util import grouped, steady
+from sylvan.llm.util import give_back, grouped, steady
 
 SENT = "bucket int, block long, keys binary, vals binary"
 ANSWERS = "block long, bucket int, answers binary, stats array<bigint>"
@@ -105,20 +104,9 @@ def answered(sent: DataFrame, answer: Answer, n_buckets: int) -> DataFrame:
     return sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(steady(decide), ANSWERS)
 
 
-def look_up(blocks: DataFrame, emit: Emit, answer: Answer, n_buckets: int) -> DataFrame:
-    """blocks(block, ...) is dealt out by block. emit gives a block's sorted distinct keys and a value for each; answer
-    gives, for all entries of a bucket, an unsigned integer each, and numbers about the bucket (kept in a row of block -1).
-    Returns ANSWERS."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in grouped(batches, "block"):
-            yield from sent_by(block, *emit(rows), n_buckets)
-
-    return answered(blocks.sortWithinPartitions("block").mapInArrow(steady(send), SENT), answer, n_buckets)
-
-
 def look_up_blocks(manifest: DataFrame, emit: Emit, answer: Answer, n_buckets: int) -> DataFrame:
-    """As look_up, for blocks in files."""
+    """emit gives the sorted distinct keys of a block (a file, see blocks) and a value for each; answer gives, for all entries
+    of a bucket, an unsigned integer each, and numbers about the bucket (kept in a row of block -1). Returns ANSWERS."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,14 +124,13 @@ def answers_of(rows: pa.Table) -> np.ndarray:
     return np.concatenate([unpack(parts[i]) for i in order]) if len(order) else np.empty(0, np.uint64)
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame, work: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """work(rows of a block, its answers) for each block; blocks may be undealt, the cogroup deals them."""
-
-    def both(rows: pa.Table, back: pa.Table) -> pa.Table:
-        return work(rows, answers_of(back))
-
-    return blocks.groupBy("block").cogroup(answers.filter("block >= 0").select("block", "bucket", "answers").groupBy("block")).applyInArrow(both, schema)
+def with_answers(manifest: DataFrame, answers: DataFrame, work: Callable[[pa.Table, np.ndarray], pa.Table], schema: str, n: int) -> DataFrame:
+    """work(rows of a block, its answers) for each block; only the answers are shuffled, the rows are read from their file."""
 
+    def both(entry: pa.Table, back: pa.Table) -> pa.Table:
+        out = work(read_block(entry)[1], answers_of(back))
+        give_back()
+        return out
 
-def dealt(docs: DataFrame, n: int) -> DataFrame:
-    return docs.repartition(n, F.col("block"))
+    own = answers.filter("block >= 0").select("block", "bucket", "answers").repartition(n, "block")
+    return manifest.repartition(n, "block").groupBy("block").cogroup(own.groupBy("block")).applyInArrow(both, schema)

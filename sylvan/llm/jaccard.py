@@ -2,8 +2,8 @@
 
 Two documents link if ``den * |A & B| >= num * |A | B|`` for their sets of word shingles. Then they share at least
 T = ceil(num / den * size) shingles of either set. Within a shard, the inverted lists of a document's shingles are parted:
-the short ones are merged and give the documents that occur often enough, the long ones are only probed by binary search
-for those (DivideSkip).
+the short ones are merged (as sorted runs, by a stable sort) and give the documents that occur often enough, the long ones
+are only probed by binary search for those (DivideSkip).
 
 Shards: shingles are ranked by how many documents have them, rare ones first. A pair that links shares one of the first
 ``size - T + 1`` shingles of both sets, so the lists of these, joined to components, part the documents into classes that
@@ -18,8 +18,6 @@ component, null if there is none. No rows give no rows. Only doc_id and text are
 
 from __future__ import annotations
 
-import heapq
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -28,19 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylvan.llm.blocks import store_blocks
 from sylvan.llm.components import components, find
-from sylvan.llm.exchange import dealt, group_sums, look_up, with_answers
+from sylvan.llm.exchange import group_sums, look_up_blocks, with_answers
 from sylvan.llm.hashing import mix, shingles, tokens
-from sylvan.llm.util import grouped, in_blocks, n_blocks, steady, stored
+from sylvan.llm.util import free_name, grouped, steady, stored
 
 #: Text of one block; a worker holds about forty times as much while it sorts shingles.
-BLOCK_BYTES = 5 << 20
-#: Document frequencies count up to this.
+BLOCK_BYTES = 3 << 20
+#: Document frequencies count up to this; they order shingles and decide no link.
 MOST_DF = 250
 #: Bytes of sets that a part of a shard may hold.
 PART_BYTES = 24 << 20
-#: Merged lists up to so many postings go through a heap, longer ones through array counts.
-HEAP = 128
 
 
 def distinct_shingles(rows: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,11 +65,11 @@ def needed(size: np.ndarray | int, num: int, den: int) -> np.ndarray | int:
 
 
 def sets_of(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, size, node, prefix, shingles): for documents that may link, their shared shingles, rare ones first, and how
+    """(doc_id, mark, size, node, prefix, shingles): for documents that may link, their shared shingles, rare ones first, and how
     many of them belong to the first size - T + 1; else null. One row of a block carries the shingles of equal sets."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"))
-    n = n_blocks(rows, block_bytes=BLOCK_BYTES)
-    blocks = in_blocks(rows, n, "doc_id", "text")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_mark("text").alias("mark"), F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"))
+    manifest = store_blocks(spark, rows, 2, BLOCK_BYTES)
+    n = max(1, manifest.count())
     # Frequencies may be of shortened hashes: any order of shingles that all documents share gives all links.
     cut = np.uint64(max(0, 23 - int(math.log2(n))))
 
@@ -104,10 +101,10 @@ def sets_of(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int) ->
         carries[np.unique(node, return_index=True)[1]] = True
         carries &= prefix > 0
         packed = [kept[e - c : e].tobytes() if use else None for e, c, use in zip(bounds, np.diff(bounds, prepend=0), carries, strict=True)]
-        return pa.table({"doc_id": table["doc_id"], "size": size.astype(np.int64), "node": node, "prefix": prefix.astype(np.int32), "shingles": pa.array(packed, pa.binary())})
+        return pa.table({"doc_id": table["doc_id"], "mark": table["mark"], "size": size.astype(np.int64), "node": node, "prefix": prefix.astype(np.int32), "shingles": pa.array(packed, pa.binary())})
 
-    answers = stored(spark, look_up(dealt(blocks, n), emit, frequency, n), "frequencies")
-    return stored(spark, with_answers(blocks, answers, work, "doc_id long, size long, node long, prefix int, shingles binary"), "sets")
+    answers = stored(spark, look_up_blocks(manifest, emit, frequency, n), "frequencies")
+    return stored(spark, with_answers(manifest, answers, work, "doc_id long, mark long, size long, node long, prefix int, shingles binary", n), "sets")
 
 
 def postings(sets: DataFrame) -> DataFrame:
@@ -123,12 +120,24 @@ def postings(sets: DataFrame) -> DataFrame:
     return sets.select("node", "prefix", "shingles").mapInArrow(steady(run), "shingle long, node long")
 
 
-def merged(lists: list[np.ndarray], least: int, n: int) -> np.ndarray:
-    """The documents that occur in at least `least` of the sorted lists."""
-    if sum(map(len, lists)) <= HEAP:
-        counted = ((doc, sum(1 for _ in same)) for doc, same in itertools.groupby(heapq.merge(*(x.tolist() for x in lists))))
-        return np.array([doc for doc, c in counted if c >= least], np.int64)
-    return np.flatnonzero(np.bincount(np.concatenate(lists), minlength=n) >= least)
+def merged(postings: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, how often) of those that occur at least `least` times in sorted lists that lie one behind the other:
+    numpy's stable sort finds the sorted runs and merges them."""
+    postings = np.sort(postings, kind="stable")
+    heads = np.flatnonzero(np.diff(postings, prepend=-1))
+    times = np.diff(np.append(heads, len(postings)))
+    return postings[heads[times >= least]], times[times >= least]
+
+
+def roots(parent: np.ndarray) -> np.ndarray:
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    return parent
+
+
+def join(parent: np.ndarray, x: int, y: int) -> None:
+    a, b = find(parent, x), find(parent, y)
+    parent[max(a, b)] = min(a, b)
 
 
 def search(size: np.ndarray, sets: list[np.ndarray], home: np.ndarray, part: np.ndarray, apart: bool, num: int, den: int) -> np.ndarray:
@@ -142,7 +151,20 @@ def search(size: np.ndarray, sets: list[np.ndarray], home: np.ndarray, part: np.
     ends = np.cumsum(counts)
     index = np.sort(at * n + np.repeat(np.arange(n), counts))  # the lists, one after the other, each by document
     begin = np.searchsorted(index, np.arange(len(words) + 1) * n)
-    parent = np.arange(n)
+    docs = (index % n).astype(np.int32)
+    parent = np.arange(n, dtype=np.int32)
+
+    def allowed(x: int, y: np.ndarray) -> np.ndarray:
+        return (size[y] * den >= size[x] * num) & (home[y] | home[x]) & ((part[y] != part[x]) if apart else True)
+
+    def probe(mine: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many of the lists hold each y, by binary search."""
+        want = mine[:, None] * n + y
+        return (index[np.minimum(np.searchsorted(index, want), len(index) - 1)] == want).sum(0)
+
+    def links(x: int, y: np.ndarray, both: np.ndarray) -> np.ndarray:
+        return y[den * both >= num * (size[x] + size[y] - both)]
+
     for x in range(1, n):
         mine = at[ends[x] - counts[x] : ends[x]]
         if len(mine) < (t := needed(int(size[x]), num, den)):
@@ -153,21 +175,27 @@ def search(size: np.ndarray, sets: list[np.ndarray], home: np.ndarray, part: np.
         by = np.argsort(lengths, kind="stable")
         longest = max(2, int(lengths[by[-1]]))
         skip = min(t - 1, int(t / (0.02 * math.log2(longest) + 1)))  # lists that are only probed
-        short, long = by[: len(mine) - skip], by[len(mine) - skip :]
-        lists = [index[begin[mine[i]] : stop[i]] % n for i in short if lengths[i]]
+        short, long = by[: len(mine) - skip], mine[by[len(mine) - skip :]]
+        lists = [docs[a:b] for a, b in zip(begin[mine[short]].tolist(), stop[short].tolist(), strict=True) if b > a]
         if not lists:
             continue
-        found = merged(lists, t - skip, n)
-        found = found[(size[found] * den >= size[x] * num) & (home[found] | home[x]) & ((part[found] != part[x]) if apart else True)]
-        probes = mine[long] * n
-        for y in found[::-1]:
-            if find(parent, int(y)) == (root := find(parent, x)):
-                continue
-            want = probes + y
-            place = np.minimum(np.searchsorted(index, want), len(index) - 1)
-            both = int((index[place] == want).sum()) + sum(1 for i in lists if (p := np.searchsorted(i, y)) < len(i) and i[p] == y)
-            if den * both >= num * (int(size[x]) + int(size[y]) - both):
-                parent[max(root, find(parent, int(y)))] = min(root, find(parent, int(y)))
+        # In a group of near copies one link to the last of them spares the search for all others.
+        near = np.unique([i[-1] for i in lists[:3]]).astype(np.int64)
+        near = near[allowed(x, near)]
+        for y in links(x, near, probe(mine, near)).tolist():
+            join(parent, x, y)
+        parent[:] = roots(parent)
+        postings = np.concatenate(lists)
+        found, times = merged(postings[parent[postings] != parent[x]], t - skip)
+        keep = allowed(x, found)
+        found, times = found[keep].astype(np.int64), times[keep]
+        found, times, some = found[::-1], times[::-1], 8
+        while len(found):  # a few first: what they link need not be asked of the rest of their component
+            for y in links(x, found[:some], times[:some] + probe(long, found[:some])).tolist():
+                join(parent, x, y)
+            parent[:] = roots(parent)
+            left = np.flatnonzero(parent[found[some:]] != parent[x]) + some
+            found, times, some = found[left], times[left], min(4 * some, 1024)
     out = np.empty(n, np.int64)
     out[order] = order[[find(parent, x) for x in range(n)]]
     return out
@@ -205,22 +233,37 @@ def links(spark: SparkSession, sets: DataFrame, num: int, den: int) -> DataFrame
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document; component_id is the least id that links reach."""
+    return rooted(spark, docs, k, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def rooted(spark: SparkSession, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """jaccard_components with mark, a hash of the text, and root, which names the component (null without shingles)."""
     sets = sets_of(spark, docs, k, num, den)
     linked = components(spark, links(spark, sets, num, den))
     # Nodes of sets that are not empty, with the least id of their rows.
     nodes = sets.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = stored(spark, nodes.join(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id"), "names")
-    whole = sets.select("doc_id", "size", F.when(F.col("size") > 0, F.col("node")).alias("node")).join(named, "node", "left")
-    return whole.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = stored(spark, nodes.join(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id"), "names")
+    whole = sets.select("doc_id", "mark", "size", F.when(F.col("size") > 0, F.col("node")).alias("node")).join(named, "node", "left")
+    return whole.select("doc_id", "mark", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without all but one document, that of the least id, of each component; columns stay. Rows without an id stay;
-    of rows of one id and text one stays."""
-    found = jaccard_components(spark, docs, k, num, den)
-    first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    first = stored(spark, first, "first")
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if first.filter("_rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.union(docs.filter("doc_id is null"))
+    """docs without all but one row of each component; columns stay. The row of the least id stays (null ids come last), of
+    equal ids that of the least hash of its text. Documents without words link with nothing and stay; of rows of equal id and
+    text one stays."""
+    found = rooted(spark, docs, k, num, den)
+    first = found.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("f")).select("f.doc_id", "f.mark")
+    first = stored(spark, first.union(found.filter("n_shingles = 0").select("doc_id", "mark")).groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("rows")), "first")
+    ident, mark, left, right = (free_name(docs, n) for n in ("_ident", "_mark", "_key_ident", "_key_mark"))
+    marked = docs.withColumn(ident, docs["doc_id"].cast("long")).withColumn(mark, text_mark("text"))
+    keys = first.select(F.col("doc_id").alias(left), F.col("mark").alias(right))
+    kept = marked.join(keys, F.col(ident).eqNullSafe(F.col(left)) & (F.col(mark) == F.col(right)), "left_semi")
+    # A kept key may stand in several rows; only those keys' rows are compared.
+    repeated = found.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    if repeated:
+        kept = kept.dropDuplicates([ident, mark])
+    return kept.select(*(F.col(c) for c in docs.columns))
+
+
+def text_mark(column: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))

@@ -19,16 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.llm.exchange import dealt, group_sums, look_up, with_answers
+from sylvan.llm.blocks import store_blocks
+from sylvan.llm.exchange import group_sums, look_up_blocks, with_answers
 from sylvan.llm.hashing import chain, mix, tokens
 from sylvan.llm.toxicity import held_out
-from sylvan.llm.util import in_blocks, n_blocks, stored
+from sylvan.llm.util import stored
 
 #: Hash of the token that ends a text, and of the context before its first token.
 END, START = (int(x) for x in mix(np.array([1, 2], np.uint64)))
 #: Keys of bigrams have the lowest bit set, those of single tokens have not.
 ONE = np.uint64(1)
 BUCKETS = 24
+#: Text of one block; a worker holds about forty times as much.
+BLOCK_BYTES = 4 << 20
 #: Texts are dealt to so many blocks at least, so that there are others where one is held out.
 MIN_BLOCKS = 8
 
@@ -114,9 +117,10 @@ def language_model(spark: SparkSession, docs: DataFrame, mod: int = 7, rest: int
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for each document."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumn("held_out", held_out(F.col("doc_id"), mod, rest))
-    n = max(MIN_BLOCKS, n_blocks(rows))
-    blocks = in_blocks(rows, n, "doc_id", "text", "held_out")
-    answers = stored(spark, look_up(dealt(blocks, n), emit, totals, n), "counts")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    manifest = store_blocks(spark, rows, 1, min(BLOCK_BYTES, max(1, total // MIN_BLOCKS)))
+    n = max(1, manifest.count())
+    answers = stored(spark, look_up_blocks(manifest, emit, totals, n), "counts")
     vocabulary, n_train, starts = (int(x or 0) for x in answers.agg(*(F.sum(F.element_at("stats", k)) for k in (1, 2, 3))).first())
     uniform = 1 / (vocabulary + 1)
 
@@ -131,7 +135,7 @@ def language_model(spark: SparkSession, docs: DataFrame, mod: int = 7, rest: int
         sums = [np.bincount(at, x, len(cells)) for x in (None, p1[learn], p2[learn])]
         return pa.table({"bucket": cells[:, 0], "q1": cells[:, 1], "q2": cells[:, 2], "n": sums[0].astype(np.int64), "p1": sums[1], "p2": sums[2]})
 
-    cells = with_answers(blocks, answers, gather, "bucket long, q1 long, q2 long, n long, p1 double, p2 double").groupBy("bucket", "q1", "q2").agg(*(F.sum(k).alias(k) for k in ("n", "p1", "p2")))
+    cells = with_answers(manifest, answers, gather, "bucket long, q1 long, q2 long, n long, p1 double, p2 double", n).groupBy("bucket", "q1", "q2").agg(*(F.sum(k).alias(k) for k in ("n", "p1", "p2")))
     found = cells.toPandas().sort_values(["bucket", "q1", "q2"])
     weights = expectation(*(found[k].to_numpy() for k in ("bucket", "n", "p1", "p2")), uniform)
 
@@ -152,4 +156,4 @@ def language_model(spark: SparkSession, docs: DataFrame, mod: int = 7, rest: int
             }
         )
 
-    return with_answers(blocks, answers, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return with_answers(manifest, answers, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double", n)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,8 +17,6 @@ from pyspark.sql import functions as F
 #: Bytes that Spark sends a Python worker at once; without a bound it counts rows alone, whatever their size.
 BATCH_BYTES = "4m"
 
-#: Text bytes that one block of documents holds on average; a task works on one block at a time.
-BLOCK_BYTES = 8 << 20
 
 
 def steady(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -67,25 +64,11 @@ def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, so that extra columns of any name cannot clash."""
-    return df.select(*(df[n] for n in names))
-
-
-def n_blocks(df: DataFrame, column: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
-    total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(1, math.ceil(total / block_bytes))
-
-
-def in_blocks(docs: DataFrame, n: int, *columns: str) -> DataFrame:
-    """Documents dealt to n blocks by a hash of their whole row; block k is one key of the exchange."""
-    block = F.pmod(F.xxhash64(*columns), F.lit(n)).cast("long")
-    return docs.select(block.alias("block"), *columns)
-
-
-def binary(column: str) -> F.Column:
-    """Text as UTF-8 bytes; null is empty."""
-    return F.coalesce(F.col(column).cast("binary"), F.lit(bytearray()))
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it one that df has not."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
