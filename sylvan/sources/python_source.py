@@ -407,7 +407,7 @@ class Builder:
                 node.name = self.text_of(node)
             if node.type in ("identifier", "integer", "float", "true", "false", "none", "ellipsis", "string_start", "string_content", "string_end", "comment", "import_prefix", "wildcard_import"):
                 continue
-            if node.type == "string" and node.children and node.children[0].type == "string_start":
+            if node.type == "ERROR" or (node.type == "string" and node.children and node.children[0].type == "string_start"):
                 continue
             whole, at = [], node.start
             for c in [*node.children, None]:
@@ -436,15 +436,49 @@ class Builder:
             stack.extend(whole)
 
 
+#: Lines that go on with what the lines before began, also where they are not indented.
+GOES_ON = ("else", "elif", "except", "finally", ")", "]", "}", " ", "\t", "\n", "\r", "#")
+
+
+def stretches(text: str) -> list[tuple[int, str]]:
+    """(lines before it, text) of the parts of a module that can stand alone: each begins with an unindented line."""
+    out: list[tuple[int, list[str]]] = []
+    decorated = False
+    for k, line in enumerate(text.split("\n")):
+        if out and (decorated or not line or line.startswith(GOES_ON)):
+            out[-1][1].append(line)
+        else:
+            out.append((k, [line]))
+        decorated = line.startswith("@") or (decorated and not line.strip())
+    return [(k, "\n".join(lines)) for k, lines in out]
+
+
+def recovered(b: Builder) -> list[Raw]:
+    """The statements of a module that does not compile as a whole: a part that does not compile is an ERROR node of its
+    tokens, the others are read as they are."""
+    out: list[Raw] = []
+    for k, text in stretches(b.text):
+        try:
+            out += [b.statement(s) for s in ast.parse("\n" * k + text).body]
+        except (SyntaxError, ValueError, RecursionError):
+            low, high = b.lines[k], b.lines[min(k + text.count("\n") + 1, len(b.lines) - 1)]
+            tokens = b.tokens[bisect_left(b.starts, low) : bisect_left(b.starts, high)]
+            if tokens:
+                out.append(Raw("ERROR", tokens[0][0], tokens[-1][1], [b.leaf(t) for t in tokens]))
+    return out
+
+
 def parse(code: bytes) -> Raw:
-    """The module; code that does not compile becomes an ERROR node of its tokens."""
+    """The module; parts that do not compile become ERROR nodes of their tokens."""
     b = Builder(code)
     first = b.tokens[0][0] if b.tokens else 0
     try:
-        tree = ast.parse(b.text)
+        body = [b.statement(s) for s in ast.parse(b.text).body]
     except (SyntaxError, ValueError, RecursionError):
-        return Raw("module", first, len(code), [Raw("ERROR", first, len(code), [b.leaf(t) for t in b.tokens])])
-    root = Raw("module", first, len(code), [b.statement(s) for s in tree.body])
+        body = recovered(b)
+    if not body and b.text.strip() and not b.tokens:  # nothing that could be read at all
+        body = [Raw("ERROR", 0, len(code))]
+    root = Raw("module", first, len(code), body)
     b.fill(root)
     return root
 

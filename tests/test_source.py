@@ -90,3 +90,14 @@ def test_files_and_errors(spark, tmp_path):
     assert parse_ast(spark, "def f(:", "python").filter("type = 'ERROR'").count() == 1
     paths = spark.createDataFrame([("s3://b/x.PY",), ("a.html@rev1",), ("noext",), (None,)], "p string")
     assert [r[0] for r in paths.select(detect_language("p")).collect()] == ["python", "html", None, None]
+
+
+def test_what_does_not_compile_is_an_error_node(spark):
+    broken = "def good(a):\n    return a\n\ndef bad(:\n    pass\n\nclass Late:\n    x = 1\n"
+    nodes = parse_ast(spark, broken, "python").cache()
+    assert {r.name for r in nodes.filter("type in ('function_definition', 'class_definition')").collect()} == {"good", "Late"}
+    errors = nodes.filter("type = 'ERROR'").collect()
+    assert len(errors) == 1 and errors[0].start_line == 4 and errors[0].children_count > 3
+    assert parse_ast(spark, "x = (1,\ny = 2\n", "python").filter("type = 'ERROR'").count() >= 1
+    assert parse_ast(spark, "@\ndef f(): pass\n", "python").filter("type = 'ERROR'").count() == 1
+    assert parse_ast(spark, "", "python").count() == 1
