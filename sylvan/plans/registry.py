@@ -92,3 +92,7 @@ from sylvan.plans import library_queries  # noqa: E402
 
 QUERIES |= library_queries.QUERIES
 ORACLE_SQL |= library_queries.ORACLE_SQL
+from sylvan.plans import source_queries  # noqa: E402
+
+QUERIES |= source_queries.QUERIES
+ORACLE_SQL |= source_queries.ORACLE_SQL

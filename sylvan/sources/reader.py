@@ -269,6 +269,12 @@ def write_index(nodes: DataFrame, path: str) -> None:
     nodes.repartition("language", "file_path").sortWithinPartitions("language", "file_path", "node_id").write.partitionBy("language").option("compression", "zstd").mode("overwrite").parquet(path)
 
 
+def save_index(nodes: DataFrame, name: str, buckets: int = 64, path: str | None = None) -> None:
+    """A node table as a catalogue table, bucketed by file and in file order: joins and windows by file need no shuffle."""
+    writer = nodes.repartition(buckets, "file_path").write.format("parquet").bucketBy(buckets, "file_path").sortBy("file_path", "node_id").option("compression", "zstd").mode("overwrite")
+    (writer if path is None else writer.option("path", path)).saveAsTable(name)
+
+
 def update_index(spark: SparkSession, nodes: DataFrame, path: str) -> str:
     """The index at path with the files of nodes replaced; it is written beside the old one, whose readers are not disturbed,
     and the new place is returned. Old rows are kept by an anti join on the few new paths, so they are not sorted anew."""

@@ -286,6 +286,15 @@ def test_index(spark, tmp_path):
     assert spark.read.parquet(first).filter("file_path = 'a.py' and type = 'assignment'").count() == 1
 
 
+def test_index_table(spark, tmp_path):
+    R.save_index(R.parse_ast(spark, REFS, "python"), "code_index", 4, str(tmp_path / "table"))
+    try:
+        plan = S.select_from(spark.table("code_index"), "function:has(call)", ordered=False)
+        assert "hashpartitioning(file_path" not in plan._jdf.queryExecution().executedPlan().toString() and plan.count() == 4
+    finally:
+        spark.sql("drop table code_index")
+
+
 def test_languages_of_ones_own(spark):
     def words(code):
         root, at = Raw("document", 0, len(code)), 0
