@@ -42,10 +42,10 @@ def _add(name: str, apply, sql: str) -> None:  # noqa: ANN001
 _FILE = "'c' || o_custkey || '.py' as file_path"
 _add(
     "metrics", A.function_metrics,
-    f"""select {_FILE}, 'f' || o_orderkey as name, 'python' as language, 3 + 6 * (row_number() over (partition by o_custkey order by o_orderkey) - 1) as start_line, 3 + 6 * (row_number() over (partition by o_custkey order by o_orderkey) - 1) + 4 as end_line,
-5 as lines, 1 as return_count, 1 as conditionals, 1 as loops, 3 as cyclomatic, 9 as max_depth from orders""",
+    f"""select {_FILE}, 'f' || o_orderkey as name, 'python' as language, cast(3 + 6 * (row_number() over (partition by o_custkey order by o_orderkey) - 1) as int) as start_line, cast(7 + 6 * (row_number() over (partition by o_custkey order by o_orderkey) - 1) as int) as end_line,
+5 as lines, cast(1 as bigint) as return_count, cast(1 as bigint) as conditionals, cast(1 as bigint) as loops, cast(3 as bigint) as cyclomatic, 9 as max_depth from orders""",
 )
-_add("call_graph", A.call_graph, f"select {_FILE}, 'f' || o_orderkey as caller, n.name || case n.name when 'g' then o_orderkey % 7 else o_orderkey % 5 end as callee, 'function' as call_type, 1 as call_count from orders, (values ('g'), ('h')) n(name)")
+_add("call_graph", A.call_graph, f"select {_FILE}, 'f' || o_orderkey as caller, n.name || case n.name when 'g' then o_orderkey % 7 else o_orderkey % 5 end as callee, 'function' as call_type, cast(1 as bigint) as call_count from orders, (values ('g'), ('h')) n(name)")
 _add("imports", A.imports, "select 'c' || c_custkey || '.py' as file_path, 'lib' || c_nationkey as source_module, 'nat' as imported_name, 'import_statement' as import_type, 1 as start_line from customer")
 _add("select", lambda t: select_from(t, "function_definition:has(call#g3):not(:has(call#h2))", ordered=False).select("file_path", "name"), f"select {_FILE}, 'f' || o_orderkey as name from orders where o_orderkey % 7 = 3 and o_orderkey % 5 <> 2")
 _add("parent_definition", lambda t: select_from(t, "call#g1::parent-definition", ordered=False).select("file_path", "name", "type"), f"select {_FILE}, 'f' || o_orderkey as name, 'function_definition' as type from orders where o_orderkey % 7 = 1")
