@@ -1,6 +1,7 @@
-"""Every query with SQL gives the rows that DuckDB gives."""
+"""Every query with SQL gives the rows that DuckDB gives. The queries run side by side, as most of their time is planning."""
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -24,10 +25,30 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module")
+def con():
+    return duck()
+
+
+@pytest.fixture(scope="module")
+def found(spark, request):
+    """The rows of the selected queries, as they come."""
+
+    def run(name):
+        df = QUERIES[name](spark, SF)
+        return rows(df.columns, [tuple(r) for r in df.collect()])
+
+    names = [i.callspec.params["name"] for i in request.session.items if getattr(i, "originalname", "") == "test_oracle"]
+    with ThreadPoolExecutor(6) as pool:
+        futures = {n: pool.submit(run, n) for n in names}
+        yield futures
+        for f in futures.values():
+            f.cancel()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
-def test_oracle(spark, name):
-    df = QUERIES[name](spark, SF)
-    found = rows(df.columns, [tuple(r) for r in df.collect()])
-    cur = duck().execute(ORACLE_SQL[name])
-    assert found == rows([d[0] for d in cur.description], cur.fetchall())
-    assert found[1]
+def test_oracle(found, con, name):
+    got = found[name].result()
+    cur = con.execute(ORACLE_SQL[name])
+    assert got == rows([d[0] for d in cur.description], cur.fetchall())
+    assert got[1]
