@@ -31,7 +31,7 @@ END, START = (int(x) for x in mix(np.array([1, 2], np.uint64)))
 ONE = np.uint64(1)
 BUCKETS = 24
 #: Text of one block; a worker holds about forty times as much.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 #: Texts are dealt to so many blocks at least, so that there are others where one is held out.
 MIN_BLOCKS = 8
 
@@ -93,9 +93,13 @@ def bucket(c: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(c > 0, np.log2(np.maximum(c, 1)).astype(int) + 1, 0), BUCKETS - 1)
 
 
+#: Half-octaves of a probability that have a cell of their own; smaller ones share the last.
+OCTAVES = 128
+
+
 def half_octave(p: np.ndarray) -> np.ndarray:
-    """Cells of probabilities: -1 for 0, else half-octaves below 1."""
-    return np.where(p > 0, np.floor(-2 * np.log2(np.maximum(p, 1e-300))), -1).astype(np.int64)
+    """Cells of probabilities: 0 for 0, else half-octaves below 1."""
+    return np.where(p > 0, np.minimum(np.floor(-2 * np.log2(np.maximum(p, 1e-300))), OCTAVES - 2) + 1, 0).astype(np.int64)
 
 
 def expectation(at: np.ndarray, n: np.ndarray, p1: np.ndarray, p2: np.ndarray, uniform: float, rounds: int = 60) -> np.ndarray:
@@ -131,9 +135,11 @@ def language_model(spark: SparkSession, docs: DataFrame, mod: int = 7, rest: int
         c1, c2 = others[one], others[two]
         ch = context_counts(c1, row, starts - int((~np.asarray(table["held_out"])).sum()))
         p1, p2 = c1 / max(1, n_train - int(learn.sum())), np.where(ch > 0, c2 / np.maximum(ch, 1), 0)
-        cells, at = np.unique(np.stack([bucket(ch), half_octave(p1), half_octave(p2)], 1)[learn], axis=0, return_inverse=True)
-        sums = [np.bincount(at, x, len(cells)) for x in (None, p1[learn], p2[learn])]
-        return pa.table({"bucket": cells[:, 0], "q1": cells[:, 1], "q2": cells[:, 2], "n": sums[0].astype(np.int64), "p1": sums[1], "p2": sums[2]})
+        ch, p1, p2 = ch[learn], p1[learn], p2[learn]
+        key = (bucket(ch) * OCTAVES + half_octave(p1)) * OCTAVES + half_octave(p2)
+        n_tokens, *sums = (np.bincount(key, x, BUCKETS * OCTAVES * OCTAVES) for x in (None, p1, p2))
+        cells = np.flatnonzero(n_tokens)
+        return pa.table({"bucket": cells // OCTAVES**2, "q1": cells // OCTAVES % OCTAVES, "q2": cells % OCTAVES, "n": n_tokens[cells].astype(np.int64), "p1": sums[0][cells], "p2": sums[1][cells]})
 
     cells = with_answers(manifest, answers, gather, "bucket long, q1 long, q2 long, n long, p1 double, p2 double", n).groupBy("bucket", "q1", "q2").agg(*(F.sum(k).alias(k) for k in ("n", "p1", "p2")))
     found = cells.toPandas().sort_values(["bucket", "q1", "q2"])
