@@ -13,6 +13,7 @@ from sylvan.operators import documents as D
 from sylvan.operators import matching as M
 from sylvan.operators import patching as P
 from sylvan.operators.selectors import select_from
+from sylvan.plans.sizes import parts_for
 from sylvan.sources.nodes import extraction
 from sylvan.sources.reader import hierarchical, parse_column, parse_list, parse_rows
 
@@ -30,12 +31,27 @@ def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.format_string("c%d.py", "c_custkey").alias("file_path"), F.concat(F.format_string("import lib%d as nat\n\n", "c_nationkey"), F.coalesce("body", F.lit(""))).alias("content"))
 
 
-def python_nodes(spark: SparkSession, sf_dir: str, **given) -> DataFrame:  # noqa: ANN003
-    return parse_rows(python_files(spark, sf_dir).withColumn("language", F.lit("python")), extraction(**given)).persist()
+#: What most questions ask of a node.
+_PLACE = ("file_path", "node_id", "type", "semantic_type", "flags", "name", "start_line", "end_line", "parent_id", "depth", "sibling_index", "descendant_count", "scope")
 
 
-def _add(name: str, apply, sql: str) -> None:  # noqa: ANN001
-    QUERIES[f"source_{name}"] = lambda spark, sf_dir: apply(python_nodes(spark, sf_dir))
+def python_nodes(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = _PLACE, **given) -> DataFrame:  # noqa: ANN003
+    """The nodes of the files, with the columns asked for.
+
+    A file's text is small and its parse is long, so files are dealt by the number of functions: 64 KB of the table of orders hold
+    about 6,000 of them. A count of one's own is not merged again by the size of the texts."""
+    parts = parts_for(spark.read.parquet(f"{sf_dir}/orders.parquet"), 64)
+    return parse_rows(python_files(spark, sf_dir).repartition(parts, "file_path").withColumn("language", F.lit("python")), extraction(**given), columns=columns)
+
+
+def _add(name: str, apply, sql: str, columns: tuple[str, ...] = _PLACE, keep: str = "true", once: bool = False) -> None:  # noqa: ANN001
+    """keep: the nodes that the question is about; once: its plan reads them once, so they are not kept."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes = python_nodes(spark, sf_dir, columns).filter(keep)
+        return apply(nodes if once else nodes.persist())
+
+    QUERIES[f"source_{name}"] = query
     ORACLE_SQL[f"source_{name}"] = sql
 
 
@@ -44,26 +60,30 @@ _add(
     "metrics", A.function_metrics,
     f"""select {_FILE}, 'f' || o_orderkey as name, 'python' as language, cast(3 + 6 * (row_number() over (partition by o_custkey order by o_orderkey) - 1) as int) as start_line, cast(7 + 6 * (row_number() over (partition by o_custkey order by o_orderkey) - 1) as int) as end_line,
 5 as lines, cast(1 as bigint) as return_count, cast(1 as bigint) as conditionals, cast(1 as bigint) as loops, cast(3 as bigint) as cyclomatic, 9 as max_depth from orders""",
+    ("file_path", "node_id", "type", "semantic_type", "flags", "name", "language", "start_line", "end_line", "depth", "scope"),
 )
-_add("call_graph", A.call_graph, f"select {_FILE}, 'f' || o_orderkey as caller, n.name || case n.name when 'g' then o_orderkey % 7 else o_orderkey % 5 end as callee, 'function' as call_type, cast(1 as bigint) as call_count from orders, (values ('g'), ('h')) n(name)")
-_add("imports", A.imports, "select 'c' || c_custkey || '.py' as file_path, 'lib' || c_nationkey as source_module, 'nat' as imported_name, 'import_statement' as import_type, 1 as start_line from customer")
+_add("call_graph", A.call_graph, f"select {_FILE}, 'f' || o_orderkey as caller, n.name || case n.name when 'g' then o_orderkey % 7 else o_orderkey % 5 end as callee, 'function' as call_type, cast(1 as bigint) as call_count from orders, (values ('g'), ('h')) n(name)",
+     (*_PLACE, "qualified_name", "language", "peek"), "sibling_index = 0 or semantic_type & 252 in (208, 240)")
+_add("imports", A.imports, "select 'c' || c_custkey || '.py' as file_path, 'lib' || c_nationkey as source_module, 'nat' as imported_name, 'import_statement' as import_type, 1 as start_line from customer", ("file_path", "node_id", "type", "semantic_type", "flags", "name", "start_line", "parent_id", "descendant_count"))
 _add("select", lambda t: select_from(t, "function_definition:has(call#g3):not(:has(call#h2))", ordered=False).select("file_path", "name"), f"select {_FILE}, 'f' || o_orderkey as name from orders where o_orderkey % 7 = 3 and o_orderkey % 5 <> 2")
 _add("parent_definition", lambda t: select_from(t, "call#g1::parent-definition", ordered=False).select("file_path", "name", "type"), f"select {_FILE}, 'f' || o_orderkey as name, 'function_definition' as type from orders where o_orderkey % 7 = 1")
 _add(
     "match", lambda t: M.match_nodes(t, "__F__(__X__, __Y__)").select("file_path", F.col("captures")["F"][0]["name"].alias("called"), F.col("captures")["Y"][0]["peek"].alias("second")),
     # A wildcard that finds nothing is no capture: calls of one argument match too.
     f"select {_FILE}, 'g' || o_orderkey % 7 as called, cast(o_orderkey % 100 as varchar) as second from orders union all select {_FILE}, 'h' || o_orderkey % 5, null from orders",
+    (*_PLACE, "peek"),
 )
 _add(
     "outline", lambda t: D.to_blocks(t, include_bodies=False, include_metadata=False).select("file_path", "element_order", F.col("block.content").alias("content"), F.col("block.attributes")["heading_level"].alias("level")),
     f"select {_FILE}, cast(row_number() over (partition by o_custkey order by o_orderkey) - 1 as int) as element_order, 'f' || o_orderkey || '(x)' as content, '1' as level from orders",
+    (*_PLACE, "language", "signature_type", "parameters", "peek"), "semantic_type & 240 = 240",
 )
-_add("nested", lambda t: hierarchical(t).filter("type = 'integer'").select("source.file_path", "context.name", "structure.children_count"), f"select {_FILE}, cast(o_orderkey % 100 as varchar) as name, 0 as children_count from orders")
+_add("nested", lambda t: hierarchical(t).filter("type = 'integer'").select("source.file_path", "context.name", "structure.children_count"), f"select {_FILE}, cast(o_orderkey % 100 as varchar) as name, 0 as children_count from orders", (*_PLACE, "language", "children_count"), "type = 'integer'", once=True)
 
 
 def patched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every call of g1 renamed, and the digest of what comes out."""
-    nodes = python_nodes(spark, sf_dir, source="full", peek="none")
+    nodes = python_nodes(spark, sf_dir, ("file_path", "type", "name", "start_line", "start_column", "end_line", "end_column"), source="full", peek="none")
     edits = nodes.filter("type = 'identifier' and name = 'g1'").select(P.node_edit("replace", "renamed").alias("e")).select("e.*")
     return P.patch(edits, python_files(spark, sf_dir)).select("file_path", F.md5("patched_source").alias("digest"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from sylvan.functions import taxonomy as X
 from sylvan.sources.markup import HTML, JSON
-from sylvan.sources.nodes import Extraction, Language, emit, extraction, schema_for
+from sylvan.sources.nodes import SCOPE, Extraction, Language, emit, emit_columns, extraction, schema_for
 from sylvan.sources.python_source import PYTHON
 
 LANGUAGES: dict[str, Language] = {x.name: x for x in (PYTHON, HTML, JSON)}
@@ -46,7 +47,8 @@ def supported_languages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "language string, extensions array<string>, parser_type string, node_type_count int").orderBy("language")
 
 
-def _nodes(path: str, code: str | bytes, language: str | None, e: Extraction, known: dict[str, Language]) -> Iterator[dict]:
+def _parsed(give, path: str, code: str | bytes, language: str | None, e: Extraction, known: dict[str, Language], *rest):  # noqa: ANN001, ANN202
+    """What give (emit or emit_columns) makes of one text; None for one that fails, if errors are ignored."""
     try:
         if language is None:
             raise ValueError(f"{path}: no language is known for this extension")
@@ -54,10 +56,16 @@ def _nodes(path: str, code: str | bytes, language: str | None, e: Extraction, kn
         if 0 < e.max_source_bytes < len(data):
             raise ValueError(f"{path}: {len(data)} bytes, more than {e.max_source_bytes}")
         lang = language_of(language, known)
-        yield from emit(lang.parse(data), data, lang, path, e)
+        out = give(lang.parse(data), data, lang, path, e, *rest)
+        return out if isinstance(out, dict) else list(out)
     except Exception:
         if not e.ignore_errors:
             raise
+        return None
+
+
+def _nodes(path: str, code: str | bytes, language: str | None, e: Extraction, known: dict[str, Language]) -> Iterator[dict]:
+    yield from _parsed(emit, path, code, language, e, known) or ()
 
 
 def nodes_of_text(code: str, language: str, e: Extraction) -> list[dict]:
@@ -65,30 +73,58 @@ def nodes_of_text(code: str, language: str, e: Extraction) -> list[dict]:
     return list(_nodes("<inline>", code, language, e, LANGUAGES))
 
 
-def parse_rows(sources: DataFrame, e: Extraction, carry: str | None = None) -> DataFrame:
-    """Nodes of (file_path, content, language) rows; null contents give none. carry names a column that every node keeps."""
-    fields = schema_for(e).fields
+def _batch(columns: dict[str, list], schema: pa.Schema, lo: int, hi: int) -> pa.RecordBatch:
+    """Rows lo .. hi - 1 of columns of nodes; structs are put together of whole columns, not row by row."""
+    out = []
+    for field in schema:
+        values = columns[field.name][lo:hi]
+        if field.name == "scope" and hi > lo and values[0] is not None:
+            parts = [*zip(*values, strict=True), columns["stack"][lo:hi]]
+            out.append(pa.StructArray.from_arrays([pa.array(p, field.type.field(i).type) for i, p in enumerate(parts)], fields=[field.type.field(i) for i in range(len(SCOPE))]))
+        else:
+            out.append(pa.array(values, field.type))
+    return pa.RecordBatch.from_arrays(out, schema=schema)
+
+
+def parse_rows(sources: DataFrame, e: Extraction, carry: str | None = None, columns: Iterable[str] | None = None) -> DataFrame:
+    """Nodes of (file_path, content, language) rows; null contents give none. carry names a column that every node keeps;
+    columns names those that are made, all if None."""
+    fields = [f for f in schema_for(e).fields if columns is None or f.name in columns]
     if carry is not None:
         fields = [T.StructField(carry, sources.schema[carry].dataType), *fields]
     schema = T.StructType(fields)
     arrow, known = to_arrow_schema(schema), dict(LANGUAGES)  # tasks get the registered languages too
+    wanted = frozenset(schema.names)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: dict[str, list] = {n: [] for n in [*schema.names, "stack"]}
+        kept = schema.names[0]
         for batch in batches:
-            columns = {n: batch.column(n) for n in batch.schema.names}
+            given = {n: batch.column(n) for n in batch.schema.names}
             for i in range(batch.num_rows):
-                code = columns["content"][i].as_py()
+                code = given["content"][i].as_py()
                 if code is None:
                     continue
-                extra = {} if carry is None else {carry: columns[carry][i].as_py()}
-                for row in _nodes(columns["file_path"][i].as_py(), code, columns["language"][i].as_py(), e, known):
-                    held.append(extra | row)
-                    if len(held) >= BATCH_ROWS:
-                        yield pa.RecordBatch.from_pylist(held, schema=arrow)
-                        held = []
-        if held:
-            yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                collects = gc.isenabled()
+                gc.disable()  # a file's nodes make no cycles and are all gone when it is done
+                try:
+                    found = _parsed(emit_columns, given["file_path"][i].as_py(), code, given["language"][i].as_py(), e, known, wanted)
+                finally:
+                    if collects:
+                        gc.enable()
+                if found is None:
+                    continue
+                if carry is not None:
+                    found[carry] = [given[carry][i].as_py()] * len(found["node_id"])
+                for n, values in held.items():
+                    values.extend(found[n])
+                size = len(held[kept])
+                if size >= BATCH_ROWS:
+                    for lo in range(0, size, BATCH_ROWS):
+                        yield _batch(held, arrow, lo, min(lo + BATCH_ROWS, size))
+                    held = {n: [] for n in held}
+        if held[kept]:
+            yield _batch(held, arrow, 0, len(held[kept]))
 
     return sources.mapInArrow(parsed, schema)
 

@@ -101,3 +101,16 @@ def test_what_does_not_compile_is_an_error_node(spark):
     assert parse_ast(spark, "x = (1,\ny = 2\n", "python").filter("type = 'ERROR'").count() >= 1
     assert parse_ast(spark, "@\ndef f(): pass\n", "python").filter("type = 'ERROR'").count() == 1
     assert parse_ast(spark, "", "python").count() == 1
+
+
+def test_parses_are_dealt_by_functions(spark, tmp_path):
+    """The files' texts are small, but their parse is long: it has a task for each core at least, and more with more orders."""
+    from sylvan.plans.sizes import parts_for
+    from sylvan.plans.source_queries import python_files, python_nodes
+
+    nodes = python_nodes(spark, "/root/testdata/sf0.001", ("file_path", "scope"))
+    assert nodes.columns == ["file_path", "scope"]
+    assert nodes.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert nodes.select("file_path").distinct().count() == python_files(spark, "/root/testdata/sf0.001").count()
+    few, many = (parts_for(spark.read.parquet(f"/root/testdata/{s}/orders.parquet"), 64) for s in ("sf0.01", "sf0.1"))
+    assert few < 10 < many
