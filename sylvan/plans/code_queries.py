@@ -19,8 +19,7 @@ def _add(name: str, apply, sql: str, flat: bool = True) -> None:  # noqa: ANN001
     """apply(code tree) -> DataFrame; flat: only the PLAIN columns are told."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        # The table is made of six windows; the plans that read it several times, and other queries, find it kept.
-        out = apply(code_tree(spark, sf_dir).persist())
+        out = apply(code_tree(spark, sf_dir))
         return out.selectExpr(*PLAIN.split(", ")) if flat else out
 
     QUERIES[name] = query

@@ -23,7 +23,7 @@ _FUNCTION = "type = 'function_definition' and (semantic_type & 240) = 240 and na
 
 
 def library(spark: SparkSession, sf_dir: str) -> L.Library:
-    nodes = code_tree(spark, sf_dir).persist()
+    nodes = code_tree(spark, sf_dir)
     sizes = nodes.groupBy(F.col("file_path").alias("id")).agg(F.count("*").alias("node_count"))
     files = L.files_of(nodes).drop("status").join(sizes, "id").withColumn("status", F.expr(_STATUS))
     return L.Library(L.index_nodes(nodes), files, nodes.filter("semantic_type = 208").select(F.lit("calls").alias("relationship_type")))
@@ -82,7 +82,7 @@ _ask("unused_functions", L.Library.unused_functions, f"select file_path, name as
 
 
 def _measure(name: str, apply, sql: str) -> None:  # noqa: ANN001
-    QUERIES[name] = lambda spark, sf_dir: apply(code_tree(spark, sf_dir).persist())
+    QUERIES[name] = lambda spark, sf_dir: apply(code_tree(spark, sf_dir))
     ORACLE_SQL[name] = CODE_SQL + sql
 
 

@@ -333,3 +333,26 @@ def test_languages_of_ones_own(spark):
 def test_bad_language_descriptions(config):
     with pytest.raises(ValueError):
         G.read_config(config, "a")
+
+
+def test_code_table_keeps_its_dealing(spark, tmp_path):
+    """Joins and windows by file over the code-shaped table shuffle no nodes; orders without their customer's row are numbered as SQL numbers them."""
+    import duckdb
+
+    from sylvan.operators import tree as N
+    from sylvan.plans.code import CODE_SQL, PLAIN, code_tree
+
+    table = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+    table("customer").filter("c_custkey % 3 <> 1").write.parquet(f"{tmp_path}/customer.parquet")
+    table("orders").write.parquet(f"{tmp_path}/orders.parquet")
+    table("lineitem").filter("l_orderkey % 5 <> 2").write.parquet(f"{tmp_path}/lineitem.parquet")
+    nodes = code_tree(spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("customer", "orders", "lineitem"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    columns = f"{PLAIN}, semantic_type, flags, children_count, note, peek, language, scope_current, scope_function, scope_class"
+    want = con.execute(f"{CODE_SQL} select {columns} from code").fetchall()
+    assert sorted(map(repr, map(tuple, nodes.select(*columns.split(", ")).collect()))) == sorted(map(repr, want))
+    plan = N.holds(nodes, N._matches("call", None), "_has").join(nodes.select("file_path", "parent_id"), ["file_path", "parent_id"])
+    text = plan._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert "Exchange hashpartitioning" not in text and "Window" in text
