@@ -24,16 +24,39 @@ def _matches(type_: str | None, name: str | None) -> Column:
     return found if name is None else found & F.coalesce(F.col("name") == name, F.lit(False))
 
 
-def holds(nodes: DataFrame, match: Column, into: str) -> DataFrame:
+#: Node numbers of one slice of a large file.
+SLICE = 1 << 18
+
+
+def _running(nodes: DataFrame, extreme, value: Column, into: str, back: bool = False, few_files: bool = False) -> DataFrame:  # noqa: ANN001
+    """The least or greatest (extreme: F.min, F.max) of the values before each node of its file, or behind it if back.
+
+    few_files: the files are few and large, so each is cut into slices of node numbers; what lies in the slices before comes from
+    a table of one row for each slice."""
+    order = F.desc if back else F.asc
+    before = lambda by, key: Window.partitionBy(*by).orderBy(order(key)).rowsBetween(Window.unboundedPreceding, -1)
+    if not few_files:
+        return nodes.withColumn(into, extreme(value).over(before(["file_path"], "node_id")))
+    key = ["file_path", "_slice"]
+    cut = nodes.withColumn("_slice", F.floor(F.col("node_id") / SLICE))
+    slices = cut.groupBy(*key).agg(extreme(value).alias("_own"))
+    carried = slices.withColumn("_carried", extreme("_own").over(before(["file_path"], "_slice"))).select(*key, "_carried")
+    found = cut.withColumn(into, extreme(value).over(before(key, "node_id"))).join(F.broadcast(carried), key, "left")
+    own, other = F.col(into), F.col("_carried")
+    nearer = own <= other if extreme is F.min else own >= other
+    return found.withColumn(into, F.when(other.isNull() | nearer, own).otherwise(other)).select(*nodes.columns, into)
+
+
+def holds(nodes: DataFrame, match: Column, into: str, few_files: bool = False) -> DataFrame:
     """Whether a matching node lies below: the next match in document order falls into the node's interval."""
-    after = Window.partitionBy("file_path").orderBy(F.desc("node_id")).rowsBetween(Window.unboundedPreceding, -1)
-    return nodes.withColumn(into, F.coalesce(F.min(F.when(match, F.col("node_id"))).over(after) <= end(), F.lit(False)))
+    rows = _running(nodes, F.min, F.when(match, F.col("node_id")), into, True, few_files)
+    return rows.withColumn(into, F.coalesce(F.col(into) <= end(), F.lit(False)))
 
 
-def lies_in(nodes: DataFrame, match: Column, into: str) -> DataFrame:
+def lies_in(nodes: DataFrame, match: Column, into: str, few_files: bool = False) -> DataFrame:
     """Whether a matching node lies above: the furthest end of the matches before is not yet passed."""
-    before = Window.partitionBy("file_path").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-    return nodes.withColumn(into, F.coalesce(F.max(F.when(match, end())).over(before) >= F.col("node_id"), F.lit(False)))
+    rows = _running(nodes, F.max, F.when(match, end()), into, False, few_files)
+    return rows.withColumn(into, F.coalesce(F.col(into) >= F.col("node_id"), F.lit(False)))
 
 
 def enclosing(nodes: DataFrame, match: Column, held: DataFrame) -> DataFrame:
@@ -60,22 +83,22 @@ def _only(nodes: DataFrame, *matches: Column) -> DataFrame:
     return nodes.filter(kept)
 
 
-def has(nodes: DataFrame, ancestor_type: str, descendant_type: str | None = None, descendant_name: str | None = None) -> DataFrame:
+def has(nodes: DataFrame, ancestor_type: str, descendant_type: str | None = None, descendant_name: str | None = None, few_files: bool = False) -> DataFrame:
     """Nodes of ancestor_type with a descendant of the type and name."""
     above, below = _matches(ancestor_type, None), _matches(descendant_type, descendant_name)
-    return holds(_only(nodes, above, below), below, "_has").filter(F.col("_has") & above).drop("_has")
+    return holds(_only(nodes, above, below), below, "_has", few_files).filter(F.col("_has") & above).drop("_has")
 
 
-def not_has(nodes: DataFrame, ancestor_type: str, descendant_type: str | None = None, descendant_name: str | None = None) -> DataFrame:
+def not_has(nodes: DataFrame, ancestor_type: str, descendant_type: str | None = None, descendant_name: str | None = None, few_files: bool = False) -> DataFrame:
     """Nodes of ancestor_type without a descendant of the type and name."""
     above, below = _matches(ancestor_type, None), _matches(descendant_type, descendant_name)
-    return holds(_only(nodes, above, below), below, "_has").filter(~F.col("_has") & above).drop("_has")
+    return holds(_only(nodes, above, below), below, "_has", few_files).filter(~F.col("_has") & above).drop("_has")
 
 
-def inside(nodes: DataFrame, descendant_type: str, ancestor_type: str, ancestor_name: str | None = None, descendant_name: str | None = None) -> DataFrame:
+def inside(nodes: DataFrame, descendant_type: str, ancestor_type: str, ancestor_name: str | None = None, descendant_name: str | None = None, few_files: bool = False) -> DataFrame:
     """Nodes of descendant_type below a node of ancestor_type."""
     above, below = _matches(ancestor_type, ancestor_name), _matches(descendant_type, descendant_name)
-    return lies_in(_only(nodes, above, below), above, "_in").filter(F.col("_in") & below).drop("_in")
+    return lies_in(_only(nodes, above, below), above, "_in", few_files).filter(F.col("_in") & below).drop("_in")
 
 
 def precedes(nodes: DataFrame, type_: str, before_type: str, before_name: str | None = None) -> DataFrame:
@@ -100,14 +123,15 @@ def _of(nodes: DataFrame, node_id: int, *columns: str) -> DataFrame:
     return nodes.filter(F.col("node_id") == node_id).select(F.col("file_path").alias("_file"), end().alias("_end"), *(F.col(c).alias(f"_{c}") for c in columns))
 
 
-def _joined(nodes: DataFrame, node_id: int, *columns: str) -> DataFrame:
+def _joined(nodes: DataFrame, node_id: int, *columns: str, few_files: bool = False) -> DataFrame:
     root = _of(nodes, node_id, *columns)
+    root = F.broadcast(root) if few_files else root
     return nodes.join(root, F.col("file_path") == F.col("_file"))
 
 
-def descendants(nodes: DataFrame, node_id: int) -> DataFrame:
+def descendants(nodes: DataFrame, node_id: int, few_files: bool = False) -> DataFrame:
     """The subtree below the node, without it."""
-    return _joined(nodes.filter(F.col("node_id") >= node_id), node_id).filter((F.col("node_id") > node_id) & (F.col("node_id") <= F.col("_end"))).select(*nodes.columns)
+    return _joined(nodes.filter(F.col("node_id") >= node_id), node_id, few_files=few_files).filter((F.col("node_id") > node_id) & (F.col("node_id") <= F.col("_end"))).select(*nodes.columns)
 
 
 def ancestors(nodes: DataFrame, node_id: int) -> DataFrame:
@@ -116,15 +140,15 @@ def ancestors(nodes: DataFrame, node_id: int) -> DataFrame:
     return nodes.filter((F.col("node_id") <= node_id) & (end() >= node_id)).join(known, "file_path", "left_semi").select(*nodes.columns)
 
 
-def siblings(nodes: DataFrame, node_id: int) -> DataFrame:
+def siblings(nodes: DataFrame, node_id: int, few_files: bool = False) -> DataFrame:
     """Nodes of the same parent, without the node; a root has none."""
-    return _joined(nodes, node_id, "parent_id").filter((F.col("parent_id") == F.col("_parent_id")) & (F.col("node_id") != node_id)).select(*nodes.columns)
+    return _joined(nodes, node_id, "parent_id", few_files=few_files).filter((F.col("parent_id") == F.col("_parent_id")) & (F.col("node_id") != node_id)).select(*nodes.columns)
 
 
-def own_scope(nodes: DataFrame, node_id: int, nested: Column | None = None) -> DataFrame:
+def own_scope(nodes: DataFrame, node_id: int, nested: Column | None = None, few_files: bool = False) -> DataFrame:
     """Descendants without the contents of nested functions; these functions themselves stay."""
     nested = X.is_name_definition("flags") & (X.semantic_type_base("semantic_type") == 240) if nested is None else nested
-    return lies_in(descendants(nodes, node_id), nested, "_in").filter(~F.col("_in")).drop("_in")
+    return lies_in(descendants(nodes, node_id, few_files), nested, "_in", few_files).filter(~F.col("_in")).drop("_in")
 
 
 def is_named() -> Column:
@@ -135,10 +159,10 @@ def is_named_definition() -> Column:
     return X.is_definition("semantic_type") & X.is_construct("flags") & is_named()
 
 
-def outermost(nodes: DataFrame, node_id: int, member: Column | None = None) -> DataFrame:
+def outermost(nodes: DataFrame, node_id: int, member: Column | None = None, few_files: bool = False) -> DataFrame:
     """Named definitions below the node that lie in no other one below it."""
     member = is_named_definition() if member is None else member
-    return lies_in(descendants(nodes, node_id), member, "_in").filter(~F.col("_in") & member).drop("_in")
+    return lies_in(descendants(nodes, node_id, few_files), member, "_in", few_files).filter(~F.col("_in") & member).drop("_in")
 
 
 MEMBER = ("node_id", "descendant_count", "name", "type", "semantic_type", "start_line", "end_line", "depth", "parent_id", "peek", "file_path", "language")
@@ -176,10 +200,9 @@ def call_arguments(nodes: DataFrame, call_id: int) -> DataFrame:
     return found.select(*nodes.columns, (F.row_number().over(Window.partitionBy("file_path").orderBy("node_id")) - 1).cast("long").alias("arg_position"))
 
 
-def depth_profile(nodes: DataFrame, owner_type: str) -> DataFrame:
+def depth_profile(nodes: DataFrame, owner_type: str, few_files: bool = False) -> DataFrame:
     """Subtrees of owner_type that hold no other of it: nodes, deepest and mean relative depth; one running pass finds each node's owner."""
-    before = Window.partitionBy("file_path").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-    owner = F.last(F.when(F.col("type") == owner_type, F.struct("node_id", "name", "depth", end().alias("end"))), ignorenulls=True).over(before)
-    held = nodes.withColumn("_o", owner).filter(F.col("node_id") <= F.col("_o.end")).select("file_path", "_o", (F.col("depth") - F.col("_o.depth")).alias("_d"))
+    owner = F.when(F.col("type") == owner_type, F.struct("node_id", "name", "depth", end().alias("end")))
+    held = _running(nodes, F.max, owner, "_o", False, few_files).filter(F.col("node_id") <= F.col("_o.end")).select("file_path", "_o", (F.col("depth") - F.col("_o.depth")).alias("_d"))
     rows = held.groupBy("file_path", F.col("_o.node_id").alias("node_id"), F.col("_o.name").alias("name"))
     return rows.agg(F.count("*").alias("total_nodes"), F.max("_d").cast("long").alias("max_depth"), F.round(F.avg("_d"), 2).alias("avg_depth"))

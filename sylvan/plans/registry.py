@@ -17,8 +17,7 @@ SECRETS = ["password", "secret", "@", "license"]
 
 def _tree(apply):  # noqa: ANN001, ANN202
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        # Built by windows and joins once; other queries find it kept.
-        return apply(relational_tree(spark, sf_dir).persist())
+        return apply(relational_tree(spark, sf_dir))
 
     return query
 
@@ -48,18 +47,18 @@ _KIND_CASE = "case cast(st as int) >> 4 " + " ".join(f"when {i} then '{k}'" for
 
 QUERIES: dict = {
     "tree_nodes": _tree(lambda t: t),
-    "tree_has": _tree(lambda t: N.has(t, "customer", "lineitem", "R")),
-    "tree_not_has": _tree(lambda t: N.not_has(t, "orders", "lineitem", "R")),
-    "tree_inside": _tree(lambda t: N.inside(t, "lineitem", "orders", "F", "A")),
+    "tree_has": _tree(lambda t: N.has(t, "customer", "lineitem", "R", few_files=True)),
+    "tree_not_has": _tree(lambda t: N.not_has(t, "orders", "lineitem", "R", few_files=True)),
+    "tree_inside": _tree(lambda t: N.inside(t, "lineitem", "orders", "F", "A", few_files=True)),
     "tree_precedes": _tree(lambda t: N.precedes(t, "lineitem", "lineitem", "R")),
     "tree_follows": _tree(lambda t: N.follows(t, "orders", "orders", "P")),
     "tree_children": _tree(lambda t: N.children(t, 0)),
-    "tree_descendants": _tree(lambda t: N.descendants(t, 1)),
+    "tree_descendants": _tree(lambda t: N.descendants(t, 1, few_files=True)),
     "tree_ancestors": _tree(lambda t: N.ancestors(t, 100)),
-    "tree_siblings": _tree(lambda t: N.siblings(t, 1)),
-    "tree_own_scope": _tree(lambda t: N.own_scope(t, 1, F.col("type") == "orders")),
-    "tree_members": _tree(lambda t: N.outermost(t, 1, F.col("type").isin("orders", "lineitem"))),
-    "tree_depth_profile": _tree(lambda t: N.depth_profile(t, "customer")),
+    "tree_siblings": _tree(lambda t: N.siblings(t, 1, few_files=True)),
+    "tree_own_scope": _tree(lambda t: N.own_scope(t, 1, F.col("type") == "orders", few_files=True)),
+    "tree_members": _tree(lambda t: N.outermost(t, 1, F.col("type").isin("orders", "lineitem"), few_files=True)),
+    "tree_depth_profile": _tree(lambda t: N.depth_profile(t, "customer", few_files=True)),
     "taxonomy_scalars": taxonomy_scalars,
     "text_contains": text_contains,
 }

@@ -356,3 +356,21 @@ def test_code_table_keeps_its_dealing(spark, tmp_path):
     plan = N.holds(nodes, N._matches("call", None), "_has").join(nodes.select("file_path", "parent_id"), ["file_path", "parent_id"])
     text = plan._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
     assert "Exchange hashpartitioning" not in text and "Window" in text
+
+
+def test_large_files_are_cut_into_slices(spark, monkeypatch):
+    """A region is one file; with slices of 50 nodes the questions about it have the answers of whole files, and no window runs over a file."""
+    from sylvan.operators import tree as N
+    from sylvan.plans import relational as R
+
+    monkeypatch.setattr(N, "SLICE", 50)
+    monkeypatch.setattr(R, "SLICE", 7)
+    t = R.relational_tree(spark, "/root/testdata/sf0.001").persist()
+    for apply in (
+        lambda **k: N.has(t, "customer", "lineitem", "R", **k), lambda **k: N.inside(t, "lineitem", "orders", "F", "A", **k), lambda **k: N.depth_profile(t, "customer", **k),
+        lambda **k: N.own_scope(t, 1, N.F.col("type") == "orders", **k), lambda **k: N.descendants(t, 1, **k),
+    ):
+        whole, cut = apply(), apply(few_files=True)
+        assert whole.columns == cut.columns
+        assert whole.exceptAll(cut).isEmpty() and cut.exceptAll(whole).isEmpty() and not whole.isEmpty()
+    assert N.descendants(t, 1, few_files=True)._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0].count("SortMergeJoin") == 0
