@@ -39,7 +39,7 @@ def python_nodes(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = _P
     """The nodes of the files, with the columns asked for.
 
     A file's text is small and its parse is long, so files are dealt by the number of functions: 64 KB of the table of orders hold
-    about 6,000 of them. A count of one's own is not merged again by the size of the texts."""
+    about 3,600 of them. A count of one's own is not merged again by the size of the texts."""
     parts = parts_for(spark.read.parquet(f"{sf_dir}/orders.parquet"), 64)
     return parse_rows(python_files(spark, sf_dir).repartition(parts, "file_path").withColumn("language", F.lit("python")), extraction(**given), columns=columns)
 
