@@ -20,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,13 +141,28 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: F.Column, max_positive:
     texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).filter(may_learn)
     by = F.xxhash64("doc_id")
     parts = []
-    for ids, most in ((known.filter("toxic = 1").select("doc_id"), max_positive), (known.select("doc_id"), max_unlabelled)):
+    for kind, (ids, most) in enumerate(((known.filter("toxic = 1").select("doc_id"), max_positive), (known.select("doc_id"), max_unlabelled))):
         chosen = ids.orderBy(by, "doc_id").limit(most)  # at most `most` rows, so small enough to broadcast
-        rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(by, "doc_id", "text").limit(most).select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).toArrow()
-        parts.append(rows["text"].combine_chunks())
-    if not len(parts[0]):
-        return None
-    return fit(*parts, min(max(prior, 1e-4), 1 - 1e-4))
+        rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(by, "doc_id", "text").limit(most)
+        parts.append(rows.select(F.lit(kind).alias("kind"), F.coalesce("text", F.lit("")).cast("binary").alias("text")))
+    return fitted(parts[0].union(parts[1]), min(max(prior, 1e-4), 1 - 1e-4))
+
+
+def fitted(rows: DataFrame, prior: float) -> Model | None:
+    """fit on the rows of kind 0 and 1, in one task: the texts and their features never reach the driver, the model does."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[pa.Array]] = [[], []]
+        for batch in batches:
+            for kind, part in enumerate(parts):
+                part.append(batch.column("text").filter(pa.compute.equal(batch.column("kind"), kind)))
+        positive, unlabelled = (pa.concat_arrays([pa.array([], pa.binary()), *part]) for part in parts)
+        if len(positive):
+            m = fit(positive, unlabelled, prior)
+            yield pa.RecordBatch.from_arrays([pa.array([m.features.tobytes()]), pa.array([m.weights.tobytes()]), pa.array([m.bias])], ["features", "weights", "bias"])
+
+    row = rows.coalesce(1).mapInArrow(steady(work), "features binary, weights binary, bias double").first()
+    return row and Model(np.frombuffer(row["features"], np.uint64), np.frombuffer(row["weights"], np.float64), row["bias"])
 
 
 def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
