@@ -15,7 +15,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,8 @@ from sylvan.functions import taxonomy as X
 AROUND = ("module", "expression_statement", "program", "source_file", "compilation_unit", "document", "source", "script")
 WRAPPERS = ("expression_statement", "expression")
 NEVER = 999
+#: Nodes within candidates that are looked at at once.
+PAIRS = 1 << 20
 PATTERN = "pattern_node_id long, rel_depth int, sibling_index int, pattern_type string, pattern_name string, pattern_semantic_type int, descendant_count int, is_wildcard boolean, capture_name string, is_syntax boolean, wraps_wildcard boolean, parent_is_wildcard boolean, is_recursive boolean"
 
 
@@ -137,6 +141,8 @@ class Matcher:
         self.below = min((p.rel_depth for p in parts if p.wraps_wildcard and p.rel_depth + 1 in recursive), default=NEVER)
         self.fixed = [p for p in parts if not (p.is_wildcard or p.is_variadic or p.is_recursive or p.wraps_wildcard)]
         self.single = [p for p in parts if p.is_wildcard and p.capture_name is not None and not (p.is_variadic or p.is_recursive or p.parent_is_wildcard)]
+        #: Whether every part has one place and every name one part: such patterns are met column by column, within a candidate alone.
+        self.plain = self.root is not None and not (self.variadic or self.deep or any(p.is_variadic or p.is_recursive for p in parts)) and len({p.capture_name for p in self.single}) == len(self.single)
 
     def fits(self, p: Part, t: dict[str, Any]) -> bool:
         """Whether a node is of the part's type (or meaning) and name."""
@@ -217,6 +223,84 @@ class Matcher:
     def told(name: str, t: dict) -> dict:
         return {"capture": name} | {k: t[k] for k in ("node_id", "type", "name", "peek", "start_line", "end_line")}
 
+    # ---- many files at once ----
+
+    def found(self, nodes: pa.Table, schema: pa.Schema) -> pa.Table:
+        """The matches in whole files' nodes."""
+        if self.root is None or not nodes.num_rows:
+            return schema.empty_table()
+        nodes = nodes.combine_chunks()
+        file = nodes["file_path"].combine_chunks().dictionary_encode()
+        if file.null_count or not self.plain or any(nodes[c].null_count for c in ("node_id", "depth", "descendant_count")):
+            rows: dict[str, list[dict]] = {}
+            for n in nodes.to_pylist():
+                rows.setdefault(n["file_path"], []).append(n)
+            return pa.Table.from_pylist([m for own in rows.values() for m in self.search(own)], schema)
+        number = lambda c: nodes[c].fill_null(-1).to_numpy().astype(np.int64)
+        place = (file.indices.to_numpy().astype(np.int64) << 40) + number("node_id")
+        if (place[1:] < place[:-1]).any():
+            order = np.argsort(place, kind="stable")
+            nodes, place = nodes.take(pa.array(order)), place[order]
+        own = {c: number(c) for c in ("depth", "descendant_count", "sibling_index", "semantic_type")}
+        candidates = np.flatnonzero(self._fit(self.root, nodes, own) & ((own["descendant_count"] > 0) | (not self.root.descendant_count)))
+        ends = np.searchsorted(place, place[candidates] + own["descendant_count"][candidates], "right")
+        fits = {p: self._fit(p, nodes, own) for p in self.fixed}
+        out, total = [], np.cumsum(ends - candidates)
+        at = 0
+        while at < len(candidates):  # as many as hold a bounded number of nodes
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+            out.append(self._met(nodes, own, fits, candidates[at:to], ends[at:to], schema))
+            at = to
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    def _fit(self, p: Part, nodes: pa.Table, own: dict[str, np.ndarray]) -> np.ndarray:
+        """fits for all nodes."""
+        equal = lambda c, x: pc.equal(nodes[c], x).fill_null(False).to_numpy()
+        if self.by_meaning and not (p.pattern_semantic_type & 0xF0 == 192 and p.descendant_count == 0):
+            same = own["semantic_type"] & 0xFC == p.pattern_semantic_type & 0xFC
+        else:
+            same = equal("type", p.pattern_type)
+        return same if not p.pattern_name or p.is_wildcard else same & equal("name", p.pattern_name)
+
+    def _met(self, nodes: pa.Table, own: dict[str, np.ndarray], fits: dict[Part, np.ndarray], candidates: np.ndarray, ends: np.ndarray, schema: pa.Schema) -> pa.Table:
+        sizes = ends - candidates
+        which = np.repeat(np.arange(len(candidates)), sizes)
+        row = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes - candidates, sizes)
+        deep, sibling = own["depth"][row] - own["depth"][candidates][which], own["sibling_index"][row]
+
+        def placed(p: Part) -> np.ndarray:
+            there = np.abs(deep - p.rel_depth) <= self.fuzz
+            return there if p.rel_depth == 0 or p.parent_is_wildcard else there & (sibling == p.sibling_index)
+
+        good = np.ones(len(candidates), bool)
+        for p in self.fixed:
+            good &= np.bincount(which[placed(p) & fits[p][row]], minlength=len(candidates)) > 0
+        holder, part, held = [], [], []
+        for k, p in enumerate(self.single):
+            i = np.flatnonzero(placed(p) & good[which])
+            # The nearest sibling, the later one of two.
+            i = i[np.lexsort((-row[i], np.abs(sibling[i] - p.sibling_index), which[i]))]
+            first = np.ones(len(i), bool)
+            first[1:] = which[i][1:] != which[i][:-1]
+            i = i[first]
+            holder.append(which[i])
+            part.append(np.full(len(i), k))
+            held.append(row[i])
+        none = np.empty(0, np.int64)
+        holder, part, held = (np.concatenate([none, *x]) for x in (holder, part, held))
+        order = np.lexsort((part, holder))
+        holder, part, held = holder[order], part[order], held[order]
+        chosen = np.flatnonzero(good)
+        root, kept = nodes.take(pa.array(candidates[chosen])), nodes.take(pa.array(held))
+        offsets = np.searchsorted(holder, np.append(chosen, len(candidates))).astype(np.int32)
+        names = pa.array([p.capture_name for p in self.single], pa.string()).take(pa.array(part))
+        item = schema.field("captures").type.item_type.value_type
+        told = pa.StructArray.from_arrays([names, *(kept[f.name].combine_chunks().cast(f.type) for f in list(item)[1:])], fields=list(item))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1, dtype=np.int32)), told)
+        captures = pa.MapArray.from_arrays(pa.array(offsets), names, lists, mask=pa.array(offsets[1:] == offsets[:-1]))
+        columns = {"root_node_id": root["node_id"], "captures": captures} | {c: root[c] for c in ("file_path", "start_line", "end_line", "peek")}
+        return pa.table({f.name: columns[f.name].cast(f.type) for f in schema}, schema)
+
 
 def match_nodes(nodes: DataFrame, pattern: str, language: str = "python", match_syntax: bool = False, match_by: str = "type", depth_fuzz: int = 0) -> DataFrame:
     """(root_node_id, file_path, start_line, end_line, peek, captures) of each match in a node table."""
@@ -230,10 +314,31 @@ def match_nodes(nodes: DataFrame, pattern: str, language: str = "python", match_
     if matcher.root is not None and not matcher.by_meaning:
         own = own.join(own.filter(F.col("type") == matcher.root.pattern_type).select("file_path").distinct(), "file_path", "left_semi").select(*NEEDED)
 
-    def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(list(matcher.search(table.to_pylist())), schema)
+    return own.groupBy("file_path").applyInArrow(lambda table: matcher.found(table, schema), FOUND)
+
+
+def match_sources(sources: DataFrame, pattern: str, language: str = "python", match_syntax: bool = False, match_by: str = "type", depth_fuzz: int = 0, **given) -> DataFrame:  # noqa: ANN003
+    """match_nodes of (file_path, content, language) rows, in the task that parses a file: no node leaves it. Of a plain pattern only
+    candidates and what is below them are looked at."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from sylvan.sources.nodes import extraction
+    from sylvan.sources.reader import parse_rows
+
+    if match_by not in ("type", "semantic_type"):
+        raise ValueError(f"match_by is type or semantic_type, not {match_by!r}")
+    matcher = Matcher(signed_parts(pattern, language, match_syntax), pattern, match_syntax, match_by == "semantic_type", depth_fuzz)
+    schema = to_arrow_schema(FOUND)
+
+    def candidates(c: dict) -> list[bool]:
+        out, last = [], -1
+        for i, (kind, below) in enumerate(zip(c["type"], c["descendant_count"], strict=True)):
+            last = max(last, i + below) if kind == matcher.root.pattern_type else last
+            out.append(i <= last)
+        return out
 
-    return own.groupBy("file_path").applyInArrow(run, FOUND)
+    keep = candidates if matcher.plain and not matcher.by_meaning else None
+    return parse_rows(sources, extraction(**given), columns=NEEDED, keep=keep, then=(lambda nodes: matcher.found(nodes, schema), FOUND))
 
 
 def match(spark: SparkSession, files: str | list[str], pattern: str, language: str = "python", **given) -> DataFrame:  # noqa: ANN003

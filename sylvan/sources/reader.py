@@ -5,8 +5,10 @@ from __future__ import annotations
 import gc
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import compress
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from sylvan.functions import taxonomy as X
 from sylvan.sources.markup import HTML, JSON
 from sylvan.sources.nodes import SCOPE, Extraction, Language, emit, emit_columns, extraction, schema_for
 from sylvan.sources.python_source import PYTHON
+from sylvan.sources.shapes import Shapes
 
 LANGUAGES: dict[str, Language] = {x.name: x for x in (PYTHON, HTML, JSON)}
 #: Node rows that one Arrow batch holds.
@@ -86,9 +89,32 @@ def _batch(columns: dict[str, list], schema: pa.Schema, lo: int, hi: int) -> pa.
     return pa.RecordBatch.from_arrays(out, schema=schema)
 
 
-def parse_rows(sources: DataFrame, e: Extraction, carry: str | None = None, columns: Iterable[str] | None = None) -> DataFrame:
+def _cast(values, kind: pa.DataType) -> pa.Array:  # noqa: ANN001
+    """An array of the kind; given arrays are changed as a whole."""
+    found = values if isinstance(values, pa.Array) else pa.array(values, None if isinstance(values, np.ndarray) else kind)
+    return found if found.type == kind else found.cast(kind)
+
+
+def _batches(shapes: Shapes, schema: pa.Schema, carry: str | None, then: Callable[[pa.Table], pa.Table] | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows that are held, in batches, or what then makes of them."""
+    if not shapes.rows:
+        return
+    found = shapes.take()
+    if carry is not None:
+        given, file = found["carried"]
+        found[carry] = pa.array(given, schema.field(carry).type).take(file)
+    whole = pa.RecordBatch.from_arrays([_cast(found[f.name], f.type) for f in schema], schema=schema)
+    if then is not None:
+        yield from then(pa.Table.from_batches([whole])).to_batches()
+        return
+    for lo in range(0, whole.num_rows, BATCH_ROWS):
+        yield whole.slice(lo, BATCH_ROWS)
+
+
+def parse_rows(sources: DataFrame, e: Extraction, carry: str | None = None, columns: Iterable[str] | None = None, keep: Callable[[dict], list[bool]] | None = None, then: tuple[Callable[[pa.Table], pa.Table], T.StructType] | None = None) -> DataFrame:
     """Nodes of (file_path, content, language) rows; null contents give none. carry names a column that every node keeps;
-    columns names those that are made, all if None."""
+    columns names those that are made, all if None; keep tells which nodes are given (see sylvan.sources.shapes.Shapes). then has
+    what is made of the nodes of whole files, in the same task, and its schema."""
     fields = [f for f in schema_for(e).fields if columns is None or f.name in columns]
     if carry is not None:
         fields = [T.StructField(carry, sources.schema[carry].dataType), *fields]
@@ -99,6 +125,35 @@ def parse_rows(sources: DataFrame, e: Extraction, carry: str | None = None, colu
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {n: [] for n in [*schema.names, "stack"]}
         kept = schema.names[0]
+        by_shape: dict[str, Shapes] = {}
+
+        def shaped(path: str, code: str | bytes, lang: Language, carried) -> bool:  # noqa: ANN001
+            if not Shapes.can(lang, e, wanted):
+                return False
+            data = code.encode() if isinstance(code, str) else bytes(code)
+            if 0 < e.max_source_bytes < len(data):
+                return False  # said by _parsed
+            if lang.name not in by_shape:
+                by_shape[lang.name] = Shapes(lang, e, wanted, keep)
+            return by_shape[lang.name].add(path, data, carried)
+
+        def add(path: str, code: str | bytes, language: str | None, carried) -> None:  # noqa: ANN001
+            try:
+                if language is not None and shaped(path, code, language_of(language, known), carried):
+                    return
+            except Exception:
+                if not e.ignore_errors:
+                    raise
+                return
+            found = _parsed(emit_columns, path, code, language, e, known, wanted)
+            if found is None:
+                return
+            if carry is not None:
+                found[carry] = [carried] * len(found["node_id"])
+            marks = None if keep is None else keep(found)
+            for n, values in held.items():
+                values.extend(found[n] if marks is None else compress(found[n], marks))
+
         for batch in batches:
             given = {n: batch.column(n) for n in batch.schema.names}
             for i in range(batch.num_rows):
@@ -108,25 +163,28 @@ def parse_rows(sources: DataFrame, e: Extraction, carry: str | None = None, colu
                 collects = gc.isenabled()
                 gc.disable()  # a file's nodes make no cycles and are all gone when it is done
                 try:
-                    found = _parsed(emit_columns, given["file_path"][i].as_py(), code, given["language"][i].as_py(), e, known, wanted)
+                    add(given["file_path"][i].as_py(), code, given["language"][i].as_py(), None if carry is None else given[carry][i].as_py())
                 finally:
                     if collects:
                         gc.enable()
-                if found is None:
-                    continue
-                if carry is not None:
-                    found[carry] = [given[carry][i].as_py()] * len(found["node_id"])
-                for n, values in held.items():
-                    values.extend(found[n])
                 size = len(held[kept])
                 if size >= BATCH_ROWS:
-                    for lo in range(0, size, BATCH_ROWS):
-                        yield _batch(held, arrow, lo, min(lo + BATCH_ROWS, size))
-                    held = {n: [] for n in held}
+                    yield from given_out(held, size)
+                    held.update({n: [] for n in held})
+                for shapes in by_shape.values():
+                    if shapes.rows >= BATCH_ROWS:
+                        yield from _batches(shapes, arrow, carry, made)
         if held[kept]:
-            yield _batch(held, arrow, 0, len(held[kept]))
+            yield from given_out(held, len(held[kept]))
+        for shapes in by_shape.values():
+            yield from _batches(shapes, arrow, carry, made)
+
+    def given_out(held: dict[str, list], size: int) -> Iterator[pa.RecordBatch]:
+        batches = (_batch(held, arrow, lo, min(lo + BATCH_ROWS, size)) for lo in range(0, size, BATCH_ROWS))
+        yield from batches if made is None else made(pa.Table.from_batches(batches, arrow)).to_batches()
 
-    return sources.mapInArrow(parsed, schema)
+    made, schema_out = (None, schema) if then is None else then
+    return sources.mapInArrow(parsed, schema_out)
 
 
 def glob_pattern(glob: str) -> str:
