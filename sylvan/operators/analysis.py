@@ -6,6 +6,8 @@ equality on (file_path, scope.function) that aggregates before the shuffle; no r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,15 +237,20 @@ def imports(nodes: DataFrame) -> DataFrame:
     below = deep.withColumn("_l", last).filter("type is not null and _at <= _l._end").select("file_path", F.col("_at").alias("_node"), "type", "name", "_l.source_module", "_l.import_type", "_l.start_line").filter(other)
     specifiers = out(below.filter(named & (F.col("type") != "use_list")))
     lists = out(below.filter("type = 'use_list'").drop("type", "name").join(of("_node"), ["file_path", "_node"]).filter(named & (F.col("type") == "identifier")))
-    line = ["file_path", "start_line"]
     clause = under.filter(other & (F.col("type") == "import_clause")).select("file_path", "source_module", "import_type", "start_line", F.col("node_id").alias("_clause"))
-    defaults = out(clause.join(of("_clause"), ["file_path", "_clause"]).filter(named & (F.col("type") == "identifier"))).join(specifiers.select(*line), line, "left_anti").select(*columns)
+    defaults = out(clause.join(of("_clause"), ["file_path", "_clause"]).filter(named & (F.col("type") == "identifier")))
     scoped = under.filter(other & (F.col("type") == "scoped_identifier")).select("file_path", "source_module", "import_type", "start_line", F.col("node_id").alias("_path")).join(of("_path"), ["file_path", "_path"]).filter("type = 'identifier'")
     tail = F.max("node_id").over(Window.partitionBy("file_path", "_path"))
     paths = out(scoped.withColumn("_last", tail).filter((F.col("node_id") == F.col("_last")) & named))
-    found = from_names.union(specifiers).union(defaults).union(paths).union(lists)
-    bare = i.join(found.select(*line).distinct(), line, "left_anti").select("file_path", "source_module", F.col("source_module").alias("imported_name"), "import_type", "start_line")
-    return found.union(bare).orderBy("file_path", "start_line", "imported_name")
+    bare = i.select("file_path", "source_module", F.col("source_module").alias("imported_name"), "import_type", "start_line")
+    # A default import counts where its line has no specifiers, the module itself where it has nothing else. What a line has is seen in
+    # one pass, so no part is made twice.
+    every = reduce(DataFrame.union, (df.withColumn("_rank", F.lit(rank)) for df, rank in ((from_names, 0), (paths, 0), (lists, 0), (specifiers, 1), (defaults, 2), (bare, 3))))
+    line = Window.partitionBy("file_path", "start_line")
+    has = lambda *ranks: F.max(F.col("_rank").isin(*ranks)).over(line) & F.col("file_path").isNotNull() & F.col("start_line").isNotNull()
+    rank = F.col("_rank")
+    seen = every.withColumn("_out", F.when(rank == 2, has(1)).when(rank == 3, has(0, 1, 2)).otherwise(F.lit(False)))
+    return seen.filter(~F.col("_out")).select(*columns).orderBy("file_path", "start_line", "imported_name")
 
 
 def find_references(nodes: DataFrame, name: str) -> DataFrame:

@@ -116,7 +116,7 @@ def test_matches_in_the_parse_are_those_of_the_nodes(spark):
         assert of(M.match_sources(sources, pattern)) == of(M.match_nodes(parse_rows(sources, extraction()), pattern))
 
 
-@pytest.mark.parametrize("name", ["source_call_graph", "source_parent_definition", "source_metrics"])
+@pytest.mark.parametrize("name", ["source_imports", "source_call_graph", "source_parent_definition", "source_metrics"])
 def test_no_join_of_nodes_is_sent_to_all_tasks(spark, name):
     """Many tables that are just small enough to be broadcast took more memory than the driver has."""
     df = S.QUERIES[name](spark, "/root/testdata/sf0.001")
