@@ -1,6 +1,6 @@
 """Approximate nearest neighbours on robust-pruned directed graphs.
 
-The vectors are dealt to shards of about SHARD vectors. In each shard a graph is grown: greedy searches from the medoid
+The vectors are dealt to shards, whose size grows with the table. In each shard a graph is grown: greedy searches from the medoid
 propose neighbours for a point, and a candidate is kept only if no kept neighbour is nearer to it by the factor ALPHA
 (relaxed pruning keeps diverse edges). Vectors that single precision hardly tells apart are one point of the graph. Queries
 run a beam search in every shard, block by block; every vector of the points found is scored in double precision, and where
@@ -24,41 +24,54 @@ from pyspark.sql import functions as F
 
 from sylvan.llm.util import steady, stored
 
-SHARD = 4096
-DEGREE, BUILD_BEAM, BEAM, ALPHA = 32, 64, 112, 1.25
+#: Vectors of a shard at least and at most; between them a table has SHARDS shards, so that a query asks no more of a larger table.
+SHARD, SHARD_MOST, SHARDS = 4096, 32768, 24
+#: BEAM is that of a shard of SHARD vectors; each doubling adds MORE.
+DEGREE, BUILD_BEAM, BEAM, MORE, ALPHA = 32, 64, 112, 48, 1.25
+#: Points that one step of a search opens.
+WIDE = 4
 #: Queries that are searched at once.
 BLOCK = 256
 
 
 def beam_search(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `width` nearest points found for each query and their squared distances; -1 and inf where fewer."""
+    """The `width` nearest points found for each query and their squared distances; -1 and inf where fewer. A step opens the WIDE
+    nearest points that are not open yet."""
     n, q = len(points), len(queries)
-    ids = np.full((q, width), -1, np.int64)
-    far = np.full((q, width), np.inf, np.float32)
-    open_ = np.zeros((q, width), bool)
-    seen = np.zeros((q, n + 1), bool)
-    seen[:, n] = True  # where a point has fewer neighbours
-    ids[:, 0], far[:, 0], open_[:, 0], seen[:, entry] = entry, 2 - 2 * (queries @ points[entry]), True, True
+    most = max(width, WIDE)
+    ids = np.full((q, most), n, np.int32)
+    far = np.full((q, most), np.inf, np.float32)
+    open_ = np.zeros((q, most), bool)
+    # Marks of the points seen: of a point that several neighbours propose in one step, the place whose mark stays is the one that counts.
+    seen = np.zeros((q, n + 1), np.uint8)
+    seen[:, n] = 255  # where a point has fewer neighbours
+    ids[:, 0], far[:, 0], open_[:, 0], seen[:, entry] = entry, 2 - 2 * (queries @ points[entry]), True, 255
+    mark = (np.arange(WIDE * graph.shape[1]) % 254 + 1).astype(np.uint8)  # WIDE * degree is at most 254, so marks differ
     live = np.arange(q)
     while len(live):
-        best = np.where(open_[live], far[live], np.inf).argmin(1)
-        going = open_[live, best]
-        live, best = live[going], best[going]
+        left = np.where(open_[live], far[live], np.inf)
+        best = np.argpartition(left, WIDE - 1, 1)[:, :WIDE]
+        going = np.take_along_axis(left, best, 1) < np.inf
+        some = going.any(1)
+        live, best, going = live[some], best[some], going[some]
         if not len(live):
             break
-        open_[live, best] = False
-        near = graph[ids[live, best]]
-        new = ~seen[live[:, None], near]
-        seen[live[:, None], near] = True
-        dist = np.where(new, 2 - 2 * np.einsum("qrd,qd->qr", points[np.minimum(near, n - 1)], queries[live]), np.inf)
+        row = live[:, None]
+        open_[row, best] = False
+        near = np.where(going[:, :, None], graph[np.minimum(ids[row, best], n - 1)], n).reshape(len(live), -1)
+        new = seen[row, near] == 0
+        seen[row, near] = np.where(new, mark, 255)
+        new &= seen[row, near] == mark
+        seen[row, near] = 255
+        dist = np.where(new, 2 - 2 * np.matmul(points[np.minimum(near, n - 1)], queries[live][:, :, None])[:, :, 0], np.inf)
         every = np.concatenate([far[live], dist], 1)
-        keep = np.argpartition(every, width - 1, 1)[:, :width]
+        keep = np.argpartition(every, most - 1, 1)[:, :most]
         far[live] = np.take_along_axis(every, keep, 1)
         ids[live] = np.take_along_axis(np.concatenate([ids[live], near], 1), keep, 1)
         open_[live] = np.take_along_axis(np.concatenate([open_[live], new], 1), keep, 1) & np.isfinite(far[live])
-    order = np.argsort(far, 1, kind="stable")
+    order = np.argsort(far, 1, kind="stable")[:, :width]
     far = np.take_along_axis(far, order, 1)
-    return np.where(np.isfinite(far), np.take_along_axis(ids, order, 1), -1), far
+    return np.where(np.isfinite(far), np.take_along_axis(ids, order, 1), -1).astype(np.int64), far
 
 
 def robust_prune(points: np.ndarray, own: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -75,7 +88,7 @@ def robust_prune(points: np.ndarray, own: np.ndarray, candidates: np.ndarray, de
     again = np.zeros(ordered.shape, bool)
     again[:, 1:] = ordered[:, 1:] == ordered[:, :-1]
     np.put_along_axis(dist, by, np.where(again, np.inf, np.take_along_axis(dist, by, 1)), 1)
-    vectors = np.take_along_axis(vectors, order[:, :, None], 1)
+    vectors = points[np.maximum(candidates, 0)]
     between = 2 - 2 * np.matmul(vectors, vectors.transpose(0, 2, 1))
     alive = np.isfinite(dist)
     kept = np.full((len(own), degree), n, np.int64)
@@ -131,6 +144,8 @@ def back(points: np.ndarray, graph: np.ndarray, now: np.ndarray, degree: int, al
     order = np.argsort(target, kind="stable")
     target, source = target[order], source[order]
     nodes, begin, size = np.unique(target, return_index=True, return_counts=True)
+    order = np.argsort(size, kind="stable")  # nodes of about as many new edges together
+    nodes, begin, size = nodes[order], begin[order], size[order]
     for low in range(0, len(nodes), BLOCK):
         own, b, s = nodes[low : low + BLOCK], begin[low : low + BLOCK], size[low : low + BLOCK]
         more = np.full((len(own), int(s.max())), -1, np.int64)
@@ -162,9 +177,10 @@ def leaders(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows that lead, number of the leader of each row): a row follows the first leader that it equals within rounding."""
     n, dim = points.shape
     leads, of, heads = np.zeros(n, bool), np.empty(n, np.int64), []
-    for a in range(0, n, 512):
-        near = points[a : a + 512] @ points.T >= 1 - 2 * rounding(dim)
-        for i in range(a, min(n, a + 512)):
+    step = max(64, min(512, (1 << 22) // max(n, 1)))
+    for a in range(0, n, step):
+        near = points[a : a + step] @ points.T >= 1 - 2 * rounding(dim)
+        for i in range(a, min(n, a + step)):
             before = near[i - a, :i] & leads[:i]
             if before.any():
                 of[i] = of[before.argmax()]
@@ -174,10 +190,10 @@ def leaders(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(heads, np.int64), of
 
 
-def best_of_shard(raw: np.ndarray, members: np.ndarray, of: np.ndarray, found: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of the query, vec_id, score): the k best other ids for each query, of the leaders found for it (-1: none) and their followers; of all rows if these are no safe choice."""
+def best_of_shard(raw: np.ndarray, points: np.ndarray, members: np.ndarray, of: np.ndarray, found: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the query, vec_id, score): the k best other ids for each query, of the leaders found for it (-1: none) and their followers; of all rows if these are no safe choice. points: the vectors raw as unit vectors."""
     n, dim = raw.shape
-    points, asked = unit(raw), unit(queries)
+    asked = unit(queries)
     hit = np.zeros(int(of.max()) + 2, bool)
     nodes = []
     for i in range(len(queries)):
@@ -249,16 +265,28 @@ def index(nodes: DataFrame, n_shards: int, ids: int, degree: int, beam: int, alp
     return nodes.select(F.pmod(F.xxhash64("embedding"), F.lit(n_shards)).alias("shard"), F.size("embedding").alias("dim"), "embedding", "members").groupBy("shard", "dim").applyInArrow(grow, INDEX)
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, is_query: F.Column, k: int = 5, shard: int = SHARD, degree: int = DEGREE, build_beam: int = BUILD_BEAM, beam: int = BEAM, alpha: float = ALPHA) -> DataFrame:
+def shard_for(n: int) -> int:
+    """How many of n vectors a shard holds: as many queries as vectors grow meet a number of shards that does not."""
+    return min(max(SHARD, -(-n // SHARDS)), SHARD_MOST)
+
+
+def beam_for(n: int, beam: int) -> int:
+    """The beam in a shard of n vectors."""
+    return beam + round(MORE * max(0.0, float(np.log2(max(n, 1) / SHARD))))
+
+
+def nearest(spark: SparkSession, vectors: DataFrame, is_query: F.Column, k: int = 5, shard: int | None = None, degree: int = DEGREE, build_beam: int = BUILD_BEAM, beam: int = BEAM, alpha: float = ALPHA) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row that is_query holds for, the k nearest rows found but itself."""
     nodes = stored(spark, nodes_of(vectors, k + 1), "vectors")
-    n_shards = max(1, -(-nodes.count() // shard))
+    n = nodes.count()
+    n_shards = max(1, -(-n // (shard or shard_for(n))))
     shards = stored(spark, index(nodes, n_shards, k + 1, degree, build_beam, alpha), "graphs")
     asked = stored(spark, vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("embedding")).filter(is_query).distinct(), "queries")
     # Queries in blocks of a bounded size, each sent to every shard of its dimension.
-    n_blocks = max(1, -(-asked.count() // 2048))
+    n_blocks = max(1, -(-asked.count() // 4096))
     usable = nodes_of(asked, 1).select("embedding")
-    blocks = asked.join(usable, "embedding", "left_semi").groupBy(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list("vec_id").alias("query_ids"), F.flatten(F.collect_list("embedding")).alias("queries"))
+    # Joins merge: a table of queries that is just small enough to be sent to all tasks is more than a driver holds beside its plans.
+    blocks = asked.join(usable.hint("merge"), "embedding", "left_semi").groupBy(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list("vec_id").alias("query_ids"), F.flatten(F.collect_list("embedding")).alias("queries"))
     sent = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long")))).repartition(n_blocks * n_shards, "shard", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,16 +298,18 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: F.Column, k: int
                 members = np.frombuffer(one["ids"].as_buffer(), np.int64).reshape(len(raw), -1)
                 of = np.frombuffer(one["leader"].as_buffer(), np.int32).astype(np.int64)
                 heads = np.unique(of, return_index=True)[1]
-                graph = np.frombuffer(one["graph"].as_buffer(), np.int32).reshape(len(heads), -1).astype(np.int64)
+                graph = np.frombuffer(one["graph"].as_buffer(), np.int32).reshape(len(heads), -1)
                 queries, query_ids = np.asarray(one["queries"].values).reshape(-1, dim), np.asarray(one["query_ids"].values)
-                small = unit(raw).astype(np.float32)[heads]
+                points = unit(raw)
+                small = points.astype(np.float32)[heads]
+                width = min(beam_for(len(heads), beam), len(heads))
                 for at in range(0, len(queries), BLOCK):
                     q, own = queries[at : at + BLOCK], query_ids[at : at + BLOCK]
-                    found, _ = beam_search(small, graph, one["entry"].as_py(), unit(q).astype(np.float32), min(beam, len(heads)))
-                    asks, ids, scores = best_of_shard(raw, members, of, found, q, own, k)
+                    found, _ = beam_search(small, graph, one["entry"].as_py(), unit(q).astype(np.float32), width)
+                    asks, ids, scores = best_of_shard(raw, points, members, of, found, q, own, k)
                     yield pa.RecordBatch.from_arrays([pa.array(own[asks]), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
 
-    found = sent.join(shards, ["shard", "dim"]).select("dim", "vectors", "graph", "entry", "ids", "leader", "query_ids", "queries").mapInArrow(steady(run), FOUND)
+    found = sent.join(shards.hint("merge"), ["shard", "dim"]).select("dim", "vectors", "graph", "entry", "ids", "leader", "query_ids", "queries").mapInArrow(steady(run), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
     return best.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -51,3 +51,27 @@ def test_hot_groups_are_exact(spark, vectors, shard):
     print(shard, recall)
     assert recall.pop("others") >= 0.9
     assert all(x == 1 for x in recall.values()), recall
+
+
+def test_a_larger_table_has_larger_shards_not_more():
+    """Every query asks every shard: with shards of one size the work grew with the square of the table."""
+    from sylvan.llm.ann import SHARD_MOST, SHARDS, shard_for
+
+    sizes = (2_000, 100_000, 400_000, SHARDS * SHARD_MOST)
+    assert [-(-n // shard_for(n)) for n in sizes] == [1, SHARDS, SHARDS, SHARDS]
+    assert shard_for(10**8) == SHARD_MOST
+
+
+def test_larger_shards_are_searched_as_well():
+    from sylvan.llm.ann import BEAM, beam_for, beam_search, build, unit
+
+    rng, recall = np.random.default_rng(9), []
+    for n in (1000, 8192):
+        points, queries = (unit(rng.standard_normal((m, DIM))).astype(np.float32) for m in (n, 200))
+        graph, entry = build(points)
+        found, far = beam_search(points, graph, entry, queries, beam_for(n, BEAM))
+        assert all(len(set(f[f >= 0])) == (f >= 0).sum() for f in found)
+        assert (np.diff(far, axis=1)[np.isfinite(far[:, 1:])] >= 0).all()
+        true = np.argsort(-(queries @ points.T), 1)[:, :K]
+        recall.append(np.mean([len(set(f) & set(t)) / K for f, t in zip(found, true, strict=True)]))
+    assert min(recall) >= 0.97, recall
